@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this subpackage that defines it under that name, with ORACLE where SQL can express it.
 MODULES = {
     "op1_mix_sources": "mixing",
+    "op2_licences": "licences",
+    "op6_simhash": "simhash",
     "op7_byte_bpe": "bpe",
     "op10_format_chat": "chat",
 }
