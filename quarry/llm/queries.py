@@ -13,6 +13,8 @@ MODULES = {
     "op2_licences": "licences",
     "op6_simhash": "simhash",
     "op7_byte_bpe": "bpe",
+    "op8_quality": "quality",
+    "op9_media": "media",
     "op10_format_chat": "chat",
 }
 
