@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_mix_sources": "mixing",
     "op2_licences": "licences",
+    "op3_suffix_dedup": "suffixes",
     "op5_toxicity": "toxicity",
     "op6_simhash": "simhash",
     "op7_byte_bpe": "bpe",
