@@ -170,3 +170,11 @@ SELECT s.doc_id, s.size, s.source_size::BIGINT AS source_size, s.target,
        s.source, (s.whole + CASE WHEN s.inside OR c.source IS NOT NULL OR c.doc_id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM s LEFT JOIN c ON s.source IS NOT DISTINCT FROM c.source AND s.doc_id IS NOT DISTINCT FROM c.doc_id AND s.q = c.q AND s.size = c.size
 """
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: docs with each row as often as it is taken. All columns stay."""
+    chosen = mix(docs, weights, max_copies, id_col, text_col, source_col).where("copies > 0")
+    keys = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").cast("int").alias("_copies")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (n_words(F.col(text_col)) == F.col("_size"))
+    return docs.join(keys, same).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")

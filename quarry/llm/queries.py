@@ -12,6 +12,7 @@ MODULES = {
     "op1_mix_sources": "mixing",
     "op2_licences": "licences",
     "op3_suffix_dedup": "suffixes",
+    "op4_html_text": "html",
     "op5_toxicity": "toxicity",
     "op6_simhash": "simhash",
     "op7_byte_bpe": "bpe",

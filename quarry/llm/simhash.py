@@ -249,3 +249,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, that of the least doc_id; rows that repeat its id leave one. All columns stay."""
+    found = staged(near_duplicates(docs, distance, id_col, text_col), "found")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
+    out = docs.join(stays.distinct(), F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    again = not stays.groupBy("_stays").count().where("count > 1").isEmpty()
+    return out.dropDuplicates([id_col]) if again else out
