@@ -12,7 +12,7 @@ documents the negatives, the hardest of them added each round. A logistic curve
 beyond the margin and the number of all units gives its score.
 
 The machine is fitted on at most ``SAMPLE`` labelled documents of each class, the first by a digest of doc_id; only their distinct
-units reach the driver. Everything else covers all rows.
+units reach the one task that fits it, and only the machine's numbers the driver. Everything else covers all rows.
 
 Cases: null, empty and unit-less texts have the score of a text in which nothing is found; a null label or doc_id never trains; several labels of a
 document each train; with no toxic or no clean label every score is the share of toxic labels (0 without labels); an empty
@@ -243,7 +243,10 @@ def fit(examples: list[tuple[int, list[str]]]) -> Model:
             cache[word] = np.array([v for _, v in m]) @ folded[[k for k, _ in m]] if m else np.zeros(folded.shape[1])
         return cache[word]
 
-    score_of = lambda words, w: {x: float(of(x) @ w[:-1] + w[-1]) for x in words}
+    def folded_back(w: np.ndarray) -> Model:
+        full = folded @ w[:-1]
+        return Model({k: float(full[i]) for k, i in place.items() if abs(full[i]) > 1e-9}, float(w[-1]))
+
     positives: Counter = Counter()
     for d in toxic:
         best = sorted((w for w in d if sure[w] > 1.2 and tie(w) > 1.4), key=lambda w: (-sure[w], w))[:4]
@@ -262,18 +265,19 @@ def fit(examples: list[tuple[int, list[str]]]) -> Model:
         wt[: len(pos)] *= 1 / max(1e-9, wt[: len(pos)].sum())
         wt[len(pos) :] *= 1 / max(1e-9, wt[len(pos) :].sum())
         w = _newton(x, y, wt * 400, 1.0)
-        hard = score_of(pool, w)
+        model = folded_back(w)
+        model.decide(pool | df1.keys())
+        hard = {v: model.known[v] for v in pool}
         negatives |= {v for v in positives if df0[v]} | set(sorted(hard, key=lambda v: (-hard[v], v))[:3000])
         again: Counter = Counter()
         for d in toxic:
-            own = sorted(((float(of(v) @ w[:-1] + w[-1]), v) for v in d if tie(v) > 1.2), reverse=True)[:4]
+            own = sorted(((model.known[v], v) for v in d if tie(v) > 1.2), reverse=True)[:4]
             again.update(v for s, v in own if s > (-0.2 if sure[v] > 1.2 else 0.2))
         positives = again or positives
     if not positives:
         share = len(toxic) / len(examples)
         return Model(curve=(math.log(share / (1 - share)),))
-    full = folded @ w[:-1]
-    model = Model({k: float(full[i]) for k, i in place.items() if abs(full[i]) > 1e-9}, float(w[-1]))
+    model = folded_back(w)
     summaries = [(t, *model.summary(u)) for t, u in examples]
     # A toxic document in which nothing is found tells nothing about what is found in others.
     held = np.array([r for r in summaries if not r[0] or r[1] > 0])
@@ -300,9 +304,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(units(t.as_py())) for t in b.column(1)], pa.list_(pa.string()))], names=["label", "units"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(t, u) for b in batches for t, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        m = fit(sorted(examples))
+        names = [*(f"weight {k}" for k in m.weights), "bias", *(f"curve {k}" for k in range(len(m.curve)))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*m.weights.values(), m.bias, *m.curve], pa.float64())], names=["name", "value"])
+
     rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text")).join(both, F.col("own_id") == F.col("label_id"))
-    got = rows.select("label", "text").mapInArrow(own, "label int, units array<string>").collect()
-    return fit(sorted((r.label, r.units) for r in got))
+    # One task fits the machine: at most 2 * sample rows reach it. The model has a number a subsequence of its landmarks.
+    found = rows.select("label", "text").mapInArrow(own, "label int, units array<string>").repartition(1).mapInArrow(learn, "name string, value double").collect()
+    said_of = {r.name: r.value for r in found}
+    curve = tuple(v for _, v in sorted((int(k[6:]), v) for k, v in said_of.items() if k.startswith("curve ")))
+    return Model({k[7:]: v for k, v in said_of.items() if k.startswith("weight ")}, said_of["bias"], curve)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
