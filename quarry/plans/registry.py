@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,12 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+MODULES = ("relational",)
+
+
 def _load() -> None:
-    pass
+    for module in MODULES:
+        importlib.import_module(f"{__package__}.{module}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
