@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-MODULES = ("relational",)
+MODULES = ("relational", "functions", "retrieval")
 
 
 def _load() -> None:
