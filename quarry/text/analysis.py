@@ -193,14 +193,14 @@ def porter(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf("array<string>")
 def _stem(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return tokens.map(lambda ts: None if ts is None else [known[t] if t in known else known.setdefault(t, porter(t)) for t in ts])
 
 
 def porter_stem(c: Column) -> Column:
-    return _stem(c)
+    # Made at use: the workers import this module without a session.
+    return F.pandas_udf(_stem, "array<string>")(c)
 
 
 @dataclass(frozen=True)
