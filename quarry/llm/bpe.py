@@ -5,7 +5,8 @@ validly on the last token before it, and is itself what the merges make of its b
 make just these two of their joined bytes. So encoding is a finite-state transduction over bytes. Its non-deterministic states
 are (bytes of the token under way, last token before it); the deterministic states are sets of them with the tokens that each
 still owes, built only when an input reaches them and kept. What all members of a set owe in common is emitted at once, so a
-token leaves after a lookahead that no token's length exceeds.
+token leaves after a lookahead that no token's length exceeds. This holds for vocabularies that merges made, in which a token's
+halves have lower ranks than the token; one that lacks a byte is refused.
 
 A piece that is itself in the vocabulary is that one token, as in the public library. Decoding joins tokens' bytes and feeds an
 incremental UTF-8 machine that carries the bytes of an unfinished character from one chunk to the next.
@@ -154,9 +155,9 @@ class Bpe:
             nxt = trie[m[0]].get(byte)
             if nxt is None:
                 continue
-            if members[0] is None and (t := ends[nxt]) >= 0:
+            if members[0] is None and (t := ends[nxt]) >= 0 and self.halve(t):
                 ok = True if (last := m[1]) < 0 else pairs.get((last, t))
-                if (self.follows(last, t) if ok is None else ok) and self.halve(t):
+                if self.follows(last, t) if ok is None else ok:
                     members[0] = (0, t, (*m[2], t))
             if trie[nxt]:
                 members.append((nxt, m[1], m[2]))

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WORD, bounded_batches, lower_az, staged, table
 
@@ -237,13 +238,13 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): one row a document."""
+    """(doc_id, fp, component_id, root): one row a document; root is a fingerprint that stands for the component."""
     prints = staged(fingerprints(docs, id_col, text_col), "prints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), distance))
     comp = staged(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = staged(comp.groupBy("root").agg(F.min("least").alias("component_id")).join(comp.select("fp", "root"), "root").select("fp", "component_id"), "ids")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = staged(comp.groupBy("root").agg(F.min("least").alias("component_id")).join(comp.select("fp", "root"), "root").select("fp", "component_id", "root"), "ids")
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +253,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the least doc_id; rows that repeat its id leave one. All columns stay."""
+    """docs with one document of each component, that of the least doc_id. All columns stay.
+
+    Where rows share an id (or have none), the fingerprint says which of them is meant, and copies of that row leave one.
+    """
     found = staged(near_duplicates(docs, distance, id_col, text_col), "found")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
-    out = docs.join(stays.distinct(), F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
-    again = not stays.groupBy("_stays").count().where("count > 1").isEmpty()
-    return out.dropDuplicates([id_col]) if again else out
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.join(own.select(F.col("doc_id").alias("_stays")), F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    one = own.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one")).select(F.col("one.doc_id").alias("_stays"), F.col("one.fp").alias("_stays_fp"))
+    out = with_fingerprint(docs, "_own_fp", text_col)
+    out = out.join(one, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_own_fp") == F.col("_stays_fp")), "left_semi")
+    return out.dropDuplicates([id_col, "_own_fp"]).drop("_own_fp")
+
+
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with the fingerprint of each text as a last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.names.index(text_col))
+            fps = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, type=pa.int64())], names=[*b.schema.names, name])
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
