@@ -11,15 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import settle
+
 VERTEX = "graph string, id long, label string, props map<string,string>"
 EDGE = "graph string, id long, src long, dst long, label string, props map<string,string>"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage: a checkpoint where a folder is set, else kept in executors, from which Spark can compute it anew."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 @dataclass
 class Graph:
     vertices: DataFrame

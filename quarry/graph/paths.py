@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import Graph, settle
+from ..operators.lineage import settle
+from .core import Graph
 
 # label | a/b | a|b | e* | e{m,n} | (e)
 

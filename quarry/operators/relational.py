@@ -88,7 +88,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     """
     newest = seed.distinct() if distinct else seed
     total, spark = newest, seed.sparkSession
-    has_dir = bool(spark.conf.get("spark.checkpoint.dir", None))
+    has_dir = bool(spark.sparkContext.getCheckpointDir())
     for k in range(1, limit + 1):
         newest = step(newest).toDF(*seed.columns)
         if distinct:

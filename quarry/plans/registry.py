@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-MODULES = ("relational", "functions", "retrieval")
+MODULES = ("relational", "functions", "retrieval", "graph")
 
 
 def _load() -> None:
