@@ -38,7 +38,7 @@ from .common import bounded_batches, staged, table
 WIDTH = 100
 GRAM = 32
 HOT = 2000
-SHARD = 4 << 20
+SHARD = 1 << 20
 #: Window starts that are hashed at a time.
 PIECE = 1 << 20
 U = np.uint64
