@@ -9,8 +9,9 @@ chunks. Chunks are known by SHA-256.
 by a join on digests; bytes are not shuffled to find it) with the ordered lists, and ``restore`` joins lists and chunks, rebuilds each
 container in order, and verifies digest and length before decoding.
 
-In the query, each payload is stored as a container, cut, put together again from its ordered list, verified against its digests
-and decoded; features come from these read-back samples. Which chunks are new is found by grouping digests, map-side first.
+The query stores all media in the shared folder and rebuilds each from there; its lengths, digests and features come from what is
+read back. Which chunks are new is found by grouping digests, map-side first. In joins, a key of more than ``HOT`` rows is
+dealt out by a salt, with a copy of its one row for each share, so no chunk or copied media makes a large task.
 
 Cases: null and empty texts give one frame of 576 bytes 255; equal texts give equal values; repeated rows share all chunks; a null
 doc_id stores and restores like any other id, once; texts of any length are processed one at a time; an empty table gives no rows.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, table
+from .common import bounded_batches, shared_dir, small, staged, table
 
 FRAME = 576
 RATE = 8000
@@ -38,6 +40,8 @@ MASK = np.uint32(0xFFE00000)
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], dtype=np.uint32)
 #: Bytes that are hashed at a time.
 RUN = 1 << 20
+#: Rows of one key that one task joins.
+HOT = 500
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -181,7 +185,7 @@ def owned(described: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write path/lists (doc_id, media_sha256, media_bytes, chunk_list) and path/chunks (digest, bytes), each distinct chunk once."""
+    """Write path/lists (doc_id, n_bytes, media_sha256, media_bytes, chunk_list, chunk_sizes) and path/chunks (digest, bytes), each distinct chunk once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +200,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(parts, pa.binary())], names=["digest", "bytes"])
 
     said = staged(describe(docs, id_col, text_col), "described")
-    said.select("doc_id", "media_sha256", "media_bytes", "chunk_list").write.parquet(f"{path}/lists")
+    said.select("doc_id", "n_bytes", "media_sha256", "media_bytes", "chunk_list", "chunk_sizes").write.parquet(f"{path}/lists")
     # Equal media have equal chunks: one text stands for each, so the owner of a chunk is a media digest.
     owner = references(said).groupBy("digest").agg(F.min("media_sha256").alias("media_sha256")).groupBy("media_sha256").agg(F.collect_list("digest").alias("want"))
     one = said.groupBy("media_sha256").agg(F.min("doc_id").alias("own_id"))
@@ -206,23 +210,59 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     joined.mapInArrow(cut, "digest binary, bytes binary").dropDuplicates(["digest"]).write.parquet(f"{path}/chunks")
 
 
+def matched(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """many left join one, which has each key once."""
+    hot = small(many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("shares")), "hot")
+    dealt = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    copies = one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return dealt.join(copies, [key, "salt"], "left").drop("salt")
+
+
+def _media(spark: SparkSession, path: str) -> DataFrame:
+    """(media_sha256, found): a row a distinct media, with its places' digests and stored bytes."""
+    bounded_batches(spark, 64)
+    places = spark.read.parquet(f"{path}/lists").groupBy("media_sha256").agg(F.first("chunk_list").alias("chunk_list")).select("media_sha256", F.posexplode("chunk_list").alias("place", "digest"))
+    return matched(places, spark.read.parquet(f"{path}/chunks"), "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("place", "digest", "bytes")).alias("found"))
+
+
+def _read_back(sha: str, found: list[dict]) -> bytes:
+    """The verified container; a chunk that isn't stored is found as damage."""
+    rows = sorted(found, key=lambda r: r["place"])
+    return rebuilt([r["digest"] for r in rows], [r["bytes"] or b"" for r in rows], bytes.fromhex(sha))
+
+
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, media_sha256, payload): each media rebuilt from its ordered list by a join on digests, verified and decoded."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for sha, found in zip(b.column(0), b.column(1), strict=True):
-                rows = sorted(found.as_py(), key=lambda r: r["place"])
-                out.append(from_wav(rebuilt([r["digest"] for r in rows], [r["bytes"] for r in rows], bytes.fromhex(sha.as_py()))).tobytes())
+            out = [from_wav(_read_back(sha.as_py(), found.as_py())).tobytes() for sha, found in zip(b.column(0), b.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["media_sha256", "payload"])
 
-    bounded_batches(spark, 64)
-    lists = spark.read.parquet(f"{path}/lists")
-    places = lists.groupBy("media_sha256").agg(F.first("chunk_list").alias("chunk_list")).select("media_sha256", F.posexplode("chunk_list").alias("place", "digest"))
-    joined = places.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("place", "digest", "bytes")).alias("found"))
-    return lists.select("doc_id", "media_sha256").join(joined.mapInArrow(build, "media_sha256 string, payload binary"), "media_sha256").select("doc_id", "media_sha256", "payload")
+    payloads = _media(spark, path).mapInArrow(build, "media_sha256 string, payload binary")
+    return matched(spark.read.parquet(f"{path}/lists").select("doc_id", "media_sha256"), payloads, "media_sha256").select("doc_id", "media_sha256", "payload")
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """(stored_sha256, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each distinct media as it is read back."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for sha, found in zip(b.column(0), b.column(1), strict=True):
+                back = _read_back(sha.as_py(), found.as_py())
+                samples = from_wav(back)
+                read = samples.tobytes()
+                rows.append((sha.as_py(), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(back), hashlib.sha256(back).hexdigest(), features(samples)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, (pa.string(), *TYPES[1:7]), strict=True)], names=["stored_sha256", *NAMES[1:7]])
+
+    return _media(spark, path).mapInArrow(build, "stored_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return owned(staged(describe(table(spark, sf_dir, "documents")), "described"))
+    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    store(table(spark, sf_dir, "documents"), path)
+    lists = owned(spark.read.parquet(f"{path}/lists")).withColumnRenamed("media_sha256", "stored_sha256").drop("media_bytes")
+    out = matched(lists, staged(read_features(spark, path), "read"), "stored_sha256")
+    return out.select("doc_id", *NAMES[:7], "new_bytes", "new_chunks", "chunks")

@@ -71,3 +71,23 @@ def test_new_bytes_are_those_of_distinct_chunks(spark, odd, empty):
     rows = M.owned(said).dropDuplicates(["doc_id", "media_sha256"]).collect()
     assert sum(r.new_bytes for r in rows) == total
     assert M.owned(M.describe(empty)).collect() == []
+
+
+def test_query_reads_what_is_stored(spark, odd, odd_rows, tmp_path, monkeypatch):
+    """With hot chunks dealt out; and bytes that are damaged in the store don't pass."""
+    monkeypatch.setattr(M, "HOT", 2)
+    odd.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = M.op9_media(spark, f"file://{tmp_path}").collect()
+    key = lambda row: tuple((v is not None, v) for v in row)
+    want = [(i, *M.media_row(t)[:7]) for i, t, _, _ in odd_rows]
+    assert sorted(map(key, ((r.doc_id, *(r[n] for n in M.NAMES[:7])) for r in got))) == sorted(map(key, want))
+    whole = M.store
+
+    def damaged(docs, path, *a):
+        whole(docs, f"{path}-whole", *a)
+        spark.read.parquet(f"{path}-whole/lists").write.parquet(f"{path}/lists")
+        spark.read.parquet(f"{path}-whole/chunks").selectExpr("digest", "concat(bytes, X'00') AS bytes").write.parquet(f"{path}/chunks")
+
+    monkeypatch.setattr(M, "store", damaged)
+    with pytest.raises(Exception, match="digest"):
+        M.op9_media(spark, f"file://{tmp_path}").collect()
