@@ -113,16 +113,19 @@ class Model:
     bias: float = -1.0
     curve: tuple[float, ...] = (0.0,)
     known: dict[str, float] = field(default_factory=dict, repr=False)
-    #: Code point -> small number, and the weights by three of these; built at first use.
+    #: Code point -> small number, and the weights by three of these, for the most common characters; built at first use.
     codes: np.ndarray | None = field(default=None, repr=False)
     cube: np.ndarray | None = field(default=None, repr=False)
+    #: The weights' other characters; words with one are summed from the weights themselves.
+    rare: frozenset[str] = field(default=frozenset(), repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "codes": None, "cube": None}
+        return self.__dict__ | {"known": {}, "codes": None, "cube": None, "rare": frozenset()}
 
     def _build(self) -> None:
         seen = Counter(c for k in self.weights for c in k if ord(c) < 0x10000)
         own = {c: n for n, (c, _) in enumerate(seen.most_common(127), 1)}
+        self.rare = frozenset(c for k in self.weights for c in k if c not in own)
         self.codes = np.zeros(0x10000, dtype=np.int32)
         for c, n in own.items():
             self.codes[ord(c)] = n
@@ -140,7 +143,12 @@ class Model:
         for j, k in STEPS:
             if n > k:
                 total += self.cube[c[:, : n - k] << 14 | c[:, j : n - k + j] << 7 | c[:, k:]].sum(axis=1) * POWER[k + 1]
-        return total / size_of(n) + self.bias
+        out = total / size_of(n) + self.bias
+        if self.rare:
+            for i, w in enumerate(words):
+                if not self.rare.isdisjoint(w):
+                    out[i] = sum(v * self.weights.get(k, 0.0) for k, v in subsequences(w).items()) + self.bias
+        return out
 
     def decide(self, tokens: Iterable[str]) -> None:
         """Put the decisions of tokens into known: each the machine's signed distance, by lengths."""
@@ -149,7 +157,7 @@ class Model:
         by_size: dict[int, list[tuple[str, str]]] = defaultdict(list)
         for t in tokens:
             w = t if t.isalpha() else letters(t)
-            if len(w) < 3:
+            if not w:
                 self.known[t] = self.bias
             elif len(w) <= LONGEST:
                 by_size[len(w)].append((t, w))
@@ -225,7 +233,7 @@ def fit(examples: list[tuple[int, list[str]]]) -> Model:
     if not toxic or not clean:
         share = len(toxic) / max(1, len(examples))
         return Model(curve=(math.log((share + 1e-9) / (1 - share + 1e-9)),))
-    plain = lambda docs: [{w for w in map(letters, d) if 3 <= len(w) <= LONGEST} for d in docs]
+    plain = lambda docs: [{w for w in map(letters, d) if 1 <= len(w) <= LONGEST} for d in docs]
     toxic, clean = plain(toxic), plain(clean)
     df1, df0 = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
     tie = lambda w: math.log((df1[w] + 0.05) / (len(toxic) + 0.1)) - math.log((df0[w] + 0.5) / (len(clean) + 1))

@@ -89,3 +89,22 @@ def test_odd_rows_no_labels_and_empty(spark, odd, odd_rows, empty):
 
 def test_held_out_is_the_crc_of_the_decimal_id():
     assert [T.held_out(k) for k in range(50)] == [zlib.crc32(str(k).encode()) % 3 == 1 for k in range(50)]
+
+
+def test_rare_and_wide_characters_count():
+    """More than 127 characters, some beyond the first plane: a word's decision is the sum over its subsequences, whatever they are of."""
+    words = ["".join(chr(0x4E00 + 7 * k + j) for j in range(4)) for k in range(80)] + ["".join(chr(0x20000 + j) for j in range(4)), "insult"]
+    m = T.Model({k: 1.0 + n for n, w in enumerate(words) for k in T.subsequences(w)}, -1.0)
+    m.decide(words)
+    for w in words:
+        assert abs(m.known[w] - sum(v * m.weights[k] for k, v in T.subsequences(w).items()) + 1.0) < 1e-6
+
+
+def test_short_insults_are_learned():
+    """Two characters, scored through the end-marked subsequences."""
+    r = random.Random(3)
+    vocab = ["".join(chr(0x4E00 + r.randrange(400)) for _ in range(2)) for _ in range(600)]
+    bad = chr(0x6000) + chr(0x6001)
+    say = lambda *more: sorted({*r.sample(vocab, 12), *more})
+    m = T.fit([(0, say()) for _ in range(150)] + [(1, say(bad)) for _ in range(150)])
+    assert m.score(" ".join([*r.sample(vocab, 12), bad])) > 0.7 > 0.3 > m.score(" ".join(r.sample(vocab, 12)))
