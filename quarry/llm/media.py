@@ -5,16 +5,17 @@ WAVE container (576 samples are 72 ms at 8 kHz). The container is cut where a ge
 ``MASK`` bits zero, not before ``LEAST`` and not after ``MOST`` bytes; equal content is cut alike wherever it stands, so copies share
 chunks. Chunks are known by SHA-256.
 
-``chunk_table`` gives the chunk references of each row, ``store`` writes each distinct chunk once (the row that owns it is found
-by a join on digests; bytes are not shuffled to find it) with the ordered lists, and ``restore`` joins lists and chunks, rebuilds each
-container in order, and verifies digest and length before decoding.
+``store`` writes each document's ordered list and, by distinct media, the chunks that it owns; a join on digests finds which chunks
+several media share, and the least of these owns each. Bytes move once, compressed, to bring copies of a media together; digests and
+shared chunks are all that is joined. ``restore`` fetches borrowed chunks by digest, rebuilds each container in order, and verifies the
+digests of chunks and whole before decoding.
 
-The query stores all media in the shared folder and rebuilds each from there; its lengths, digests and features come from what is
-read back. Which chunks are new is found by grouping digests, map-side first. In joins, a key of more than ``HOT`` rows is
-dealt out by a salt, with a copy of its one row for each share, so no chunk or copied media makes a large task.
+The query stores all media in the shared folder and rebuilds each from there; lengths, digests and features come from what is
+read back. In joins, a key of more than ``HOT`` rows is dealt out by a salt, with a copy of its one row for each share, and copies
+of a media leave a task once, so no chunk or copied media makes a large task.
 
 Cases: null and empty texts give one frame of 576 bytes 255; equal texts give equal values; repeated rows share all chunks; a null
-doc_id stores and restores like any other id, once; texts of any length are processed one at a time; an empty table gives no rows.
+doc_id stores and restores like any other id; texts of any length are processed one at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ RUN = 1 << 20
 HOT = 500
 
 
-def payload_of(text: str | None) -> tuple[int, bytes]:
-    data = (text or "").encode("utf-8")
+def payload_of(data: bytes) -> tuple[int, bytes]:
+    """(its own length, data filled up)"""
     return len(data), data + b"\xff" * ((-len(data)) % FRAME if data else FRAME)
 
 
@@ -141,77 +142,101 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-NAMES = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "chunk_list", "chunk_sizes")
-TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+NAMES = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
 
-def media_row(text: str | None) -> tuple:
-    n, payload = payload_of(text)
-    media = to_wav(payload)
-    parts = chunks(media)
-    digest = hashlib.sha256(media).digest()
-    back = rebuilt([d for d, _ in parts], [p for _, p in parts], digest)
-    samples = from_wav(back)
+def said_of(media: bytes) -> tuple[int, str, int, int, str, str]:
+    """What is told of a stored form: its payload's length, digest and tail, its own length and digest, and features of the samples."""
+    samples = from_wav(media)
     read = samples.tobytes()
-    return n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(back), digest.hex(), features(samples), [d for d, _ in parts], [len(p) for _, p in parts]
+    return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)
 
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: what is read back from its stored form, with its ordered chunk list."""
+def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_bytes, media_sha256, chunk_list): the ordered chunk list of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [media_row(t.as_py()) for t in b.column(1)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(NAMES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), type=t) for c, t in zip(columns, TYPES, strict=True))], names=["doc_id", *NAMES])
+            sizes, names, listed = [], [], []
+            for text in b.column(1):
+                n, payload = payload_of((text.as_py() or "").encode("utf-8"))
+                media = to_wav(payload)
+                sizes.append(n)
+                names.append(hashlib.sha256(media).hexdigest())
+                listed.append([d for d, _ in chunks(media)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(listed, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media_sha256", "chunk_list"])
 
     kind = dict(docs.dtypes)[id_col]
-    ddl = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, chunk_list array<binary>, chunk_sizes array<int>"
-    return _docs(docs, id_col, text_col).mapInArrow(run, ddl)
+    return _docs(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, media_sha256 string, chunk_list array<binary>")
 
 
-def references(described: DataFrame) -> DataFrame:
-    """(doc_id, media_sha256, place, digest, size): a row a chunk of a list."""
-    return described.select("doc_id", "media_sha256", F.posexplode(F.arrays_zip("chunk_list", "chunk_sizes")).alias("place", "c")).select("doc_id", "media_sha256", "place", F.col("c.chunk_list").alias("digest"), F.col("c.chunk_sizes").alias("size"))
+def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(media_sha256, n, z): each media's text once a task, n bytes long, compressed, so that a shuffle moves little."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            names, sizes, packed = [], [], []
+            for text in b.column(1):
+                data = (text.as_py() or "").encode("utf-8")
+                media = hashlib.sha256(to_wav(payload_of(data)[1]))
+                if media.digest() not in seen:
+                    seen.add(media.digest())
+                    names.append(media.hexdigest())
+                    sizes.append(len(data))
+                    packed.append(pa.compress(data, codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["media_sha256", "n", "z"])
 
-def owned(described: DataFrame) -> DataFrame:
-    """described with chunks and new_bytes: the bytes of those chunks that no smaller (media, doc_id) has; what a store grows by."""
-    refs = references(described)
-    first = refs.groupBy("digest", "size").agg(F.min(F.struct("media_sha256", "doc_id")).alias("owner"))
-    new = first.groupBy(F.col("owner.media_sha256").alias("own_media"), F.col("owner.doc_id").alias("own_id")).agg(F.sum("size").cast("long").alias("new_bytes"), F.count("*").alias("new_chunks"))
-    joined = described.join(new, (F.col("media_sha256") == F.col("own_media")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
-    return joined.withColumns({"chunks": F.size("chunk_list").cast("long"), "new_bytes": F.coalesce("new_bytes", F.lit(0).cast("long")), "new_chunks": F.coalesce("new_chunks", F.lit(0).cast("long"))}).drop("own_media", "own_id", "chunk_list", "chunk_sizes")
+    return _docs(docs, id_col, text_col).mapInArrow(run, "media_sha256 string, n long, z binary")
 
 
-def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write path/lists (doc_id, n_bytes, media_sha256, media_bytes, chunk_list, chunk_sizes) and path/chunks (digest, bytes), each distinct chunk once."""
+PACK = pa.schema([("media_sha256", pa.string()), ("chunk_list", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("bytes", pa.list_(pa.binary())), ("lent", pa.list_(pa.binary())), ("borrowed", pa.list_(pa.binary()))])
+PACK_DDL = "media_sha256 string, chunk_list array<binary>, own array<binary>, bytes array<binary>, lent array<binary>, borrowed array<binary>"
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the lists (path/lists, a row a document) and the chunks (path/packs, a row a distinct media).
+
+    A pack holds its media's ordered list and those of its chunks that it owns: a chunk of several media is owned by the least of their
+    digests. ``lent`` names the owned chunks that others need, ``borrowed`` those that others own, so each distinct chunk is stored once
+    and only shared ones ever move to another row.
+    """
+    _described(docs, id_col, text_col).write.option("compression", "zstd").parquet(f"{path}/lists")
+    lists = docs.sparkSession.read.parquet(f"{path}/lists")
+    refs = lists.select("media_sha256", F.explode(F.array_distinct("chunk_list")).alias("digest")).distinct()
+    shared = refs.groupBy("digest").agg(F.min("media_sha256").alias("owner"), F.max("media_sha256").alias("other")).where("owner != other").select("digest", "owner")
+    links = matched(refs, staged(shared, "shared"), "digest").where(F.col("owner").isNotNull())
+    mine = F.col("owner") == F.col("media_sha256")
+    notes = links.groupBy("media_sha256").agg(F.collect_list(F.when(mine, F.col("digest"))).alias("lent"), F.collect_list(F.when(~mine, F.col("digest"))).alias("borrowed"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()  # a partition's media: tasks may have sent the same one
         for b in batches:
-            wanted, digests, parts = set(), [], []
-            for text, want in zip(b.column(0), b.column(1), strict=True):
-                wanted = set(want.as_py())
-                for d, p in chunks(to_wav(payload_of(text.as_py())[1])):
-                    if d in wanted:
-                        wanted.discard(d)
-                        digests.append(d)
-                        parts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(parts, pa.binary())], names=["digest", "bytes"])
-
-    said = staged(describe(docs, id_col, text_col), "described")
-    said.select("doc_id", "n_bytes", "media_sha256", "media_bytes", "chunk_list", "chunk_sizes").write.parquet(f"{path}/lists")
-    # Equal media have equal chunks: one text stands for each, so the owner of a chunk is a media digest.
-    owner = references(said).groupBy("digest").agg(F.min("media_sha256").alias("media_sha256")).groupBy("media_sha256").agg(F.collect_list("digest").alias("want"))
-    one = said.groupBy("media_sha256").agg(F.min("doc_id").alias("own_id"))
-    texts = _docs(docs, id_col, text_col).groupBy(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"))
-    wanted = owner.join(one, "media_sha256")
-    joined = wanted.join(texts, wanted["own_id"].eqNullSafe(texts["own_id"])).select("text", "want")
-    joined.mapInArrow(cut, "digest binary, bytes binary").dropDuplicates(["digest"]).write.parquet(f"{path}/chunks")
+            rows = []
+            for media, n, z, lent, borrowed in zip(*(b.column(k) for k in range(5)), strict=True):
+                if media.as_py() in seen:
+                    continue
+                seen.add(media.as_py())
+                data = pa.decompress(z.as_py(), n.as_py(), codec="zstd", asbytes=True)
+                parts = chunks(to_wav(payload_of(data)[1]))
+                elsewhere = set(borrowed.as_py() or ())
+                own = {d: p for d, p in parts if d not in elsewhere}
+                rows.append((media.as_py(), [d for d, _ in parts], list(own), list(own.values()), lent.as_py() or [], sorted(elsewhere)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(PACK)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, PACK, strict=True)], schema=PACK)
+
+    texts = _packed(docs, id_col, text_col).repartition("media_sha256").join(notes, "media_sha256", "left").select("media_sha256", "n", "z", "lent", "borrowed")
+    texts.mapInArrow(pack, PACK_DDL).write.option("compression", "zstd").parquet(f"{path}/packs")
+
+
+def chunk_table(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, bytes): the stored chunks, each distinct one once."""
+    return spark.read.parquet(f"{path}/packs").select(F.explode(F.arrays_zip("own", "bytes")).alias("c")).select(F.col("c.own").alias("digest"), F.col("c.bytes").alias("bytes"))
 
 
 def matched(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """many left join one, which has each key once."""
+    """many left join one, which has each key once. A key of more than HOT rows is dealt out by a salt."""
     hot = small(many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("shares")), "hot")
     dealt = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     copies = one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
@@ -219,16 +244,30 @@ def matched(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
 
 
 def _media(spark: SparkSession, path: str) -> DataFrame:
-    """(media_sha256, found): a row a distinct media, with its places' digests and stored bytes."""
-    bounded_batches(spark, 64)
-    places = spark.read.parquet(f"{path}/lists").groupBy("media_sha256").agg(F.first("chunk_list").alias("chunk_list")).select("media_sha256", F.posexplode("chunk_list").alias("place", "digest"))
-    return matched(places, spark.read.parquet(f"{path}/chunks"), "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("place", "digest", "bytes")).alias("found"))
+    """(media_sha256, chunk_list, own, bytes, borrowed, lenders' chunks): what rebuilds each distinct media.
 
-
-def _read_back(sha: str, found: list[dict]) -> bytes:
-    """The verified container; a chunk that isn't stored is found as damage."""
-    rows = sorted(found, key=lambda r: r["place"])
-    return rebuilt([r["digest"] for r in rows], [r["bytes"] or b"" for r in rows], bytes.fromhex(sha))
+    Media that own all their chunks need no join. The others fetch what they borrow, by digest, from the packs that lend it.
+    """
+    bounded_batches(spark, 64)
+    packs = spark.read.parquet(f"{path}/packs")
+    kind = "array<struct<digest:binary,bytes:binary>>"
+    whole = packs.where(F.size("borrowed") == 0).select("media_sha256", "chunk_list", "own", "bytes", F.lit(None).cast(kind).alias("found"))
+    needs = packs.where(F.size("borrowed") > 0)
+    wanted = needs.select("media_sha256", F.explode("borrowed").alias("digest"))
+    lending = F.filter(F.arrays_zip("own", "bytes"), lambda c: F.array_contains("lent", c["own"]))
+    lent = packs.where(F.size("lent") > 0).select(F.explode(lending).alias("c")).select(F.col("c.own").alias("digest"), F.col("c.bytes").alias("bytes"))
+    found = matched(wanted, lent, "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("digest", "bytes")).alias("found"))
+    return whole.unionByName(needs.join(found, "media_sha256", "left").select(*whole.columns))
+
+
+def _read_back(b: pa.RecordBatch) -> Iterator[tuple[str, bytes, int, int]]:
+    """(stored_sha256, verified container, chunks, own bytes) of each row; a chunk that isn't stored is found as damage."""
+    for sha, listed, own, parts, found in zip(*(b.column(k) for k in range(5)), strict=True):
+        known = dict(zip(own.as_py(), parts.as_py(), strict=True))
+        held = sum(map(len, known.values()))
+        known |= {r["digest"]: r["bytes"] or b"" for r in found.as_py() or ()}
+        order = listed.as_py()
+        yield sha.as_py(), rebuilt(order, [known.get(d, b"") for d in order], bytes.fromhex(sha.as_py())), len(order), held
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
@@ -236,33 +275,30 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [from_wav(_read_back(sha.as_py(), found.as_py())).tobytes() for sha, found in zip(b.column(0), b.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["media_sha256", "payload"])
+            rows = [(sha, from_wav(media).tobytes()) for sha, media, _, _ in _read_back(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["media_sha256", "payload"])
 
     payloads = _media(spark, path).mapInArrow(build, "media_sha256 string, payload binary")
     return matched(spark.read.parquet(f"{path}/lists").select("doc_id", "media_sha256"), payloads, "media_sha256").select("doc_id", "media_sha256", "payload")
 
 
+READ = pa.schema([("stored_sha256", pa.string()), *((n, t) for n, t in zip(NAMES[1:], TYPES[1:], strict=True)), ("chunks", pa.int64()), ("own_bytes", pa.int64())])
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(stored_sha256, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each distinct media as it is read back."""
+    """(stored_sha256, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, chunks, own_bytes) of each distinct media as it is read back."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for sha, found in zip(b.column(0), b.column(1), strict=True):
-                back = _read_back(sha.as_py(), found.as_py())
-                samples = from_wav(back)
-                read = samples.tobytes()
-                rows.append((sha.as_py(), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(back), hashlib.sha256(back).hexdigest(), features(samples)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, (pa.string(), *TYPES[1:7]), strict=True)], names=["stored_sha256", *NAMES[1:7]])
+            rows = [(sha, *said_of(media), n, held) for sha, media, n, held in _read_back(b)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(READ)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, READ, strict=True)], schema=READ)
 
-    return _media(spark, path).mapInArrow(build, "stored_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _media(spark, path).mapInArrow(build, "stored_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, chunks long, own_bytes long")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     store(table(spark, sf_dir, "documents"), path)
-    lists = owned(spark.read.parquet(f"{path}/lists")).withColumnRenamed("media_sha256", "stored_sha256").drop("media_bytes")
-    out = matched(lists, staged(read_features(spark, path), "read"), "stored_sha256")
-    return out.select("doc_id", *NAMES[:7], "new_bytes", "new_chunks", "chunks")
+    lists = spark.read.parquet(f"{path}/lists").select("doc_id", "n_bytes", F.col("media_sha256").alias("stored_sha256"))
+    return matched(lists, staged(read_features(spark, path), "read"), "stored_sha256").select("doc_id", *NAMES, "chunks", "own_bytes")

@@ -7,22 +7,23 @@ import wave
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import media as M
 
+from .conftest import frame
 
-def test_row_equals_contract(odd_rows):
-    for t in [t for _, t, _, _ in odd_rows] + ["x" * 576, "x" * 577, "é" * 288]:
-        data = (t or "").encode()
-        payload = data
-        while not payload or len(payload) % 576:
-            payload += b"\xff"
-        row = M.media_row(t)
-        assert row[:4] == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        wav = M.to_wav(payload)
-        with wave.open(io.BytesIO(wav)) as w:
-            assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, payload)
-        assert row[4:6] == (len(wav), hashlib.sha256(wav).hexdigest())
+
+def want_of(t):
+    """The contract's columns, by themselves."""
+    data = (t or "").encode()
+    payload = data
+    while not payload or len(payload) % 576:
+        payload += b"\xff"
+    wav = M.to_wav(payload)
+    with wave.open(io.BytesIO(wav)) as w:
+        assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, payload)
+    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest()
 
 
 def test_gear_equals_its_definition_and_chunks_make_the_media():
@@ -56,38 +57,46 @@ def test_damage_is_found():
         M.from_wav(M.to_wav(b"a" * 576)[:-1])
 
 
+def near_copies():
+    """Media that share chunks: long texts that differ in one word."""
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(4000)]
+    return [(1000 + k, " ".join([*base[: 500 * k], f"changed{k}", *base[500 * k :]]), "en", "a") for k in range(6)]
+
+
 def test_store_and_restore(spark, odd, odd_rows, tmp_path):
-    M.store(odd, f"file://{tmp_path}/media")
+    rows = [*odd_rows, *near_copies()]
+    M.store(odd.unionByName(frame(spark, near_copies())), f"file://{tmp_path}/media")
     back = M.restore(spark, f"file://{tmp_path}/media").collect()
-    want = sorted(M.payload_of(t)[1] for _, t, _, _ in odd_rows)
+    want = sorted(M.payload_of((t or "").encode())[1] for _, t, _, _ in rows)
     assert sorted(bytes(r.payload) for r in back) == want
-    chunks = spark.read.parquet(f"file://{tmp_path}/media/chunks")
-    assert chunks.count() == chunks.select("digest").distinct().count()
-
-
-def test_new_bytes_are_those_of_distinct_chunks(spark, odd, empty):
-    said = M.describe(odd).cache()
-    total = M.references(said).dropDuplicates(["digest"]).groupBy().sum("size").first()[0]
-    rows = M.owned(said).dropDuplicates(["doc_id", "media_sha256"]).collect()
-    assert sum(r.new_bytes for r in rows) == total
-    assert M.owned(M.describe(empty)).collect() == []
+    stored = M.chunk_table(spark, f"file://{tmp_path}/media").collect()
+    every = {d: p for _, t, _, _ in rows for d, p in M.chunks(M.to_wav(M.payload_of((t or "").encode())[1]))}
+    assert len(stored) == len(every) and {bytes(r.digest): bytes(r.bytes) for r in stored} == every
+    packs = spark.read.parquet(f"file://{tmp_path}/media/packs")
+    assert packs.where("size(borrowed) > 0").count() >= 5
 
 
 def test_query_reads_what_is_stored(spark, odd, odd_rows, tmp_path, monkeypatch):
     """With hot chunks dealt out; and bytes that are damaged in the store don't pass."""
     monkeypatch.setattr(M, "HOT", 2)
-    odd.write.parquet(f"file://{tmp_path}/documents.parquet")
+    odd.unionByName(frame(spark, near_copies())).write.parquet(f"file://{tmp_path}/documents.parquet")
     got = M.op9_media(spark, f"file://{tmp_path}").collect()
     key = lambda row: tuple((v is not None, v) for v in row)
-    want = [(i, *M.media_row(t)[:7]) for i, t, _, _ in odd_rows]
-    assert sorted(map(key, ((r.doc_id, *(r[n] for n in M.NAMES[:7])) for r in got))) == sorted(map(key, want))
+    want = [(i, *want_of(t)) for i, t, _, _ in [*odd_rows, *near_copies()]]
+    assert sorted(map(key, ((r.doc_id, *(r[n] for n in M.NAMES[:6])) for r in got))) == sorted(map(key, want))
     whole = M.store
 
     def damaged(docs, path, *a):
         whole(docs, f"{path}-whole", *a)
         spark.read.parquet(f"{path}-whole/lists").write.parquet(f"{path}/lists")
-        spark.read.parquet(f"{path}-whole/chunks").selectExpr("digest", "concat(bytes, X'00') AS bytes").write.parquet(f"{path}/chunks")
+        spark.read.parquet(f"{path}-whole/packs").withColumn("bytes", F.transform("bytes", lambda x: F.concat(x, F.lit(b"\0")))).write.parquet(f"{path}/packs")
 
     monkeypatch.setattr(M, "store", damaged)
     with pytest.raises(Exception, match="digest"):
         M.op9_media(spark, f"file://{tmp_path}").collect()
+
+
+def test_empty_table(spark, empty, tmp_path):
+    M.store(empty, f"file://{tmp_path}/media")
+    assert M.restore(spark, f"file://{tmp_path}/media").collect() == []
