@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir, small, staged, table
@@ -154,80 +154,135 @@ def said_of(media: bytes) -> tuple[int, str, int, int, str, str]:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_bytes, media_sha256, chunk_list): the ordered chunk list of each document."""
+    """(doc_id, n_bytes, media_sha256, m, chunk_list): the ordered chunk list of each document; m is short for its media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, names, listed = [], [], []
+            sizes, names, short, listed = [], [], [], []
             for text in b.column(1):
                 n, payload = payload_of((text.as_py() or "").encode("utf-8"))
                 media = to_wav(payload)
+                digest = hashlib.sha256(media).digest()
                 sizes.append(n)
-                names.append(hashlib.sha256(media).hexdigest())
+                names.append(digest)
+                short.append(short_of(digest))
                 listed.append([d for d, _ in chunks(media)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(listed, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media_sha256", "chunk_list"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(short, pa.int64()), pa.array(listed, pa.list_(pa.binary()))],
+                names=["doc_id", "n_bytes", "media_sha256", "m", "chunk_list"],
+            )
 
     kind = dict(docs.dtypes)[id_col]
-    return _docs(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, media_sha256 string, chunk_list array<binary>")
+    return _docs(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, media_sha256 binary, m long, chunk_list array<binary>")
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(media_sha256, n, z): each media's text once a task, n bytes long, compressed, so that a shuffle moves little."""
+def short_of(digest: bytes) -> int:
+    """Of a media's digest. Where two media share theirs, both keep the chunks they share: no result changes."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            names, sizes, packed = [], [], []
-            for text in b.column(1):
-                data = (text.as_py() or "").encode("utf-8")
-                media = hashlib.sha256(to_wav(payload_of(data)[1]))
-                if media.digest() not in seen:
-                    seen.add(media.digest())
-                    names.append(media.hexdigest())
-                    sizes.append(len(data))
-                    packed.append(pa.compress(data, codec="zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["media_sha256", "n", "z"])
 
-    return _docs(docs, id_col, text_col).mapInArrow(run, "media_sha256 string, n long, z binary")
+class Filter:
+    """A bitmap of short media names: a clear bit proves that a media isn't among them. At most 2^30 bits, whatever it is of."""
+
+    def __init__(self, bits: int, buckets: dict[int, bytes]):
+        self.bits, self.buckets = bits, buckets
+
+    @staticmethod
+    def place(m: Column, bits: int) -> Column:
+        return F.pmod(m, F.lit(bits))
+
+    @classmethod
+    def of(cls, names: DataFrame) -> Filter:
+        """names: (m). Built from partial bitmaps of 32768 bits each."""
+        bits = 1 << min(30, max(16, (16 * names.count()).bit_length()))
+        at = cls.place(F.col("m"), bits)
+        rows = names.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")).collect()
+        return cls(bits, {r.bucket: bytes(r.bitmap) for r in rows})
+
+    def __contains__(self, m: int) -> bool:
+        at = m % self.bits
+        # Spark numbers buckets from 1, with place 0 alone in bucket 0's end; positions follow.
+        bucket, position = (1 + (at - 1) // 32768, (at - 1) % 32768) if at > 0 else (0, -at % 32768)
+        found = self.buckets.get(bucket)
+        return found is not None and bool(found[position >> 3] >> (position & 7) & 1)
+
+
+PACK = pa.schema([("media_sha256", pa.binary()), ("chunk_list", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("bytes", pa.list_(pa.binary())), ("lent", pa.list_(pa.binary())), ("borrowed", pa.list_(pa.binary()))])
+PACK_DDL = "media_sha256 binary, chunk_list array<binary>, own array<binary>, bytes array<binary>, lent array<binary>, borrowed array<binary>"
+
 
+def _pack(media: bytes, digest: bytes, lent: list[bytes], borrowed: list[bytes]) -> tuple:
+    parts, elsewhere, lends = chunks(media), set(borrowed), set(lent)
+    own = {d: p for d, p in parts if d[:BRIEF] not in elsewhere}
+    order = [d for d, _ in parts]
+    return digest, order, list(own), list(own.values()), [d for d in own if d[:BRIEF] in lends], sorted({d for d in order if d[:BRIEF] in elsewhere})
 
-PACK = pa.schema([("media_sha256", pa.string()), ("chunk_list", pa.list_(pa.binary())), ("own", pa.list_(pa.binary())), ("bytes", pa.list_(pa.binary())), ("lent", pa.list_(pa.binary())), ("borrowed", pa.list_(pa.binary()))])
-PACK_DDL = "media_sha256 string, chunk_list array<binary>, own array<binary>, bytes array<binary>, lent array<binary>, borrowed array<binary>"
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+#: Bytes of a digest by which shared chunks are found.
+BRIEF = 16
 
 
 def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the lists (path/lists, a row a document) and the chunks (path/packs, a row a distinct media).
 
     A pack holds its media's ordered list and those of its chunks that it owns: a chunk of several media is owned by the least of their
-    digests. ``lent`` names the owned chunks that others need, ``borrowed`` those that others own, so each distinct chunk is stored once
-    and only shared ones ever move to another row.
+    short names. ``lent`` has the owned chunks that others need, ``borrowed`` those that others own, so each distinct chunk is stored
+    once. A media of one document that shares no chunk is packed where it is read; only copies and sharers are shuffled.
     """
+    spark = docs.sparkSession
     _described(docs, id_col, text_col).write.option("compression", "zstd").parquet(f"{path}/lists")
-    lists = docs.sparkSession.read.parquet(f"{path}/lists")
-    refs = lists.select("media_sha256", F.explode(F.array_distinct("chunk_list")).alias("digest")).distinct()
-    shared = refs.groupBy("digest").agg(F.min("media_sha256").alias("owner"), F.max("media_sha256").alias("other")).where("owner != other").select("digest", "owner")
-    links = matched(refs, staged(shared, "shared"), "digest").where(F.col("owner").isNotNull())
-    mine = F.col("owner") == F.col("media_sha256")
-    notes = links.groupBy("media_sha256").agg(F.collect_list(F.when(mine, F.col("digest"))).alias("lent"), F.collect_list(F.when(~mine, F.col("digest"))).alias("borrowed"))
+    lists = spark.read.parquet(f"{path}/lists")
+    refs = lists.select("m", F.explode(F.array_distinct("chunk_list")).alias("digest")).select("m", F.substring("digest", 1, BRIEF).alias("d"))
+    shared = small(refs.groupBy("d").agg(F.min("m").alias("owner"), F.max("m").alias("other")).where("owner != other").select("d", "owner"), "shared")
+    mine = F.col("owner") == F.col("m")
+    links = matched(refs.join(shared.select("d"), "d", "left_semi").distinct(), shared, "d")
+    notes = staged(links.groupBy("m").agg(F.collect_list(F.when(mine, F.col("d"))).alias("lent"), F.collect_list(F.when(~mine, F.col("d"))).alias("borrowed")), "notes")
+    copied = lists.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    among = spark.sparkContext.broadcast(Filter.of(staged(notes.select("m").unionByName(copied).distinct(), "moved")))
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column(1):
+                media = to_wav(payload_of((text.as_py() or "").encode("utf-8"))[1])
+                digest = hashlib.sha256(media).digest()
+                if short_of(digest) not in among.value:
+                    rows.append(_pack(media, digest, [], []))
+            yield _rows(rows, PACK)
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # copies leave a task once
+        for b in batches:
+            rows = []
+            for text in b.column(1):
+                data = (text.as_py() or "").encode("utf-8")
+                digest = hashlib.sha256(to_wav(payload_of(data)[1])).digest()
+                if short_of(digest) in among.value and digest not in seen:
+                    seen.add(digest)
+                    rows.append((short_of(digest), len(data), pa.compress(data, codec="zstd", asbytes=True)))
+            yield _rows(rows, pa.schema([("m", pa.int64()), ("n", pa.int64()), ("z", pa.binary())]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()  # a partition's media: tasks may have sent the same one
+        seen: set[bytes] = set()  # a partition's media: several tasks may have sent one
         for b in batches:
             rows = []
-            for media, n, z, lent, borrowed in zip(*(b.column(k) for k in range(5)), strict=True):
-                if media.as_py() in seen:
-                    continue
-                seen.add(media.as_py())
-                data = pa.decompress(z.as_py(), n.as_py(), codec="zstd", asbytes=True)
-                parts = chunks(to_wav(payload_of(data)[1]))
-                elsewhere = set(borrowed.as_py() or ())
-                own = {d: p for d, p in parts if d not in elsewhere}
-                rows.append((media.as_py(), [d for d, _ in parts], list(own), list(own.values()), lent.as_py() or [], sorted(elsewhere)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(PACK)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, PACK, strict=True)], schema=PACK)
-
-    texts = _packed(docs, id_col, text_col).repartition("media_sha256").join(notes, "media_sha256", "left").select("media_sha256", "n", "z", "lent", "borrowed")
-    texts.mapInArrow(pack, PACK_DDL).write.option("compression", "zstd").parquet(f"{path}/packs")
+            for n, z, lent, borrowed in zip(*(b.column(k) for k in range(4)), strict=True):
+                media = to_wav(payload_of(pa.decompress(z.as_py(), n.as_py(), codec="zstd", asbytes=True))[1])
+                digest = hashlib.sha256(media).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    rows.append(_pack(media, digest, lent.as_py() or [], borrowed.as_py() or []))
+            yield _rows(rows, PACK)
+
+    own = _docs(docs, id_col, text_col)
+    own.mapInArrow(here, PACK_DDL).write.option("compression", "zstd").parquet(f"{path}/packs")
+    texts = own.mapInArrow(away, "m long, n long, z binary").repartition("m").join(notes, "m", "left").select("n", "z", "lent", "borrowed")
+    texts.mapInArrow(pack, PACK_DDL).write.mode("append").option("compression", "zstd").parquet(f"{path}/packs")
 
 
 def chunk_table(spark: SparkSession, path: str) -> DataFrame:
@@ -260,14 +315,14 @@ def _media(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(needs.join(found, "media_sha256", "left").select(*whole.columns))
 
 
-def _read_back(b: pa.RecordBatch) -> Iterator[tuple[str, bytes, int, int]]:
+def _read_back(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int, int]]:
     """(stored_sha256, verified container, chunks, own bytes) of each row; a chunk that isn't stored is found as damage."""
     for sha, listed, own, parts, found in zip(*(b.column(k) for k in range(5)), strict=True):
         known = dict(zip(own.as_py(), parts.as_py(), strict=True))
         held = sum(map(len, known.values()))
         known |= {r["digest"]: r["bytes"] or b"" for r in found.as_py() or ()}
         order = listed.as_py()
-        yield sha.as_py(), rebuilt(order, [known.get(d, b"") for d in order], bytes.fromhex(sha.as_py())), len(order), held
+        yield sha.as_py(), rebuilt(order, [known.get(d, b"") for d in order], sha.as_py()), len(order), held
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
@@ -276,13 +331,13 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(sha, from_wav(media).tobytes()) for sha, media, _, _ in _read_back(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["media_sha256", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["media_sha256", "payload"])
 
-    payloads = _media(spark, path).mapInArrow(build, "media_sha256 string, payload binary")
+    payloads = _media(spark, path).mapInArrow(build, "media_sha256 binary, payload binary")
     return matched(spark.read.parquet(f"{path}/lists").select("doc_id", "media_sha256"), payloads, "media_sha256").select("doc_id", "media_sha256", "payload")
 
 
-READ = pa.schema([("stored_sha256", pa.string()), *((n, t) for n, t in zip(NAMES[1:], TYPES[1:], strict=True)), ("chunks", pa.int64()), ("own_bytes", pa.int64())])
+READ = pa.schema([("stored_sha256", pa.binary()), *((n, t) for n, t in zip(NAMES[1:], TYPES[1:], strict=True)), ("chunks", pa.int64()), ("own_bytes", pa.int64())])
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -291,10 +346,9 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(sha, *said_of(media), n, held) for sha, media, n, held in _read_back(b)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(READ)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, READ, strict=True)], schema=READ)
+            yield _rows(rows, READ)
 
-    return _media(spark, path).mapInArrow(build, "stored_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, chunks long, own_bytes long")
+    return _media(spark, path).mapInArrow(build, "stored_sha256 binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, chunks long, own_bytes long")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,11 @@ def test_query_reads_what_is_stored(spark, odd, odd_rows, tmp_path, monkeypatch)
 def test_empty_table(spark, empty, tmp_path):
     M.store(empty, f"file://{tmp_path}/media")
     assert M.restore(spark, f"file://{tmp_path}/media").collect() == []
+
+
+def test_filter_has_what_it_is_of(spark):
+    r = random.Random(3)
+    names = [0, 1, -1, 32768, 32769, 65536, *(r.randrange(-(1 << 63), 1 << 63) for _ in range(500))]
+    f = M.Filter.of(spark.createDataFrame([(n,) for n in names], "m long"))
+    assert all(n in f for n in names)
+    assert sum(r.randrange(-(1 << 63), 1 << 63) in f for _ in range(2000)) < 300
