@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
@@ -25,6 +26,21 @@ CASES = {
     "</p></div>stray": "stray",
     "": "",
     "a < b and c > d": "a < b and c > d",
+    "<a title=don't>hello it's me</a> after": "hello it's me after",
+    "<p class=it's>seen text one</p><p>it's two</p><p>three</p>": "seen text one\n\nit's two\n\nthree",
+    "<svg><title>no</title><text>label</text></svg> <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <object>fallback</object>": "label x=2 fallback",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b></div>": "yes",
+    "<div style='display:none'>no <b style='display:block; visibility: visible'>no</b></div>": "",
+    "<dialog>no</dialog><dialog open>yes</dialog>": "yes",
+    "<details>no<summary>yes</summary>no</details><details open>a<summary>b</summary></details>": "yes\na\nb",
+    "<pre>a<br>b</pre>": "a\nb",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
+    "<table><tr><td>aa<td>bb<td>cc<tr><td colspan=2>x<td>y</table>": "aa | bb | cc\nx       | y",
+    "<input value=shown><input type=password value=no><input type=hidden value=no>": "shown",
+    "<head><title>no</title><p>yes": "yes",
+    "<b><p>one</b> two</p>": "one two",
+    '<a title="never closed>text</a> more': "text more",
+    "<div/>a": "a",
 }
 
 
@@ -54,3 +70,48 @@ def test_rows_nulls_and_empty(spark):
     rows = sorted((r.page_id or 0, r.text) for r in texts(df).collect())
     assert rows == [(0, "x"), (1, ""), (2, ""), (2, "")]
     assert texts(spark.createDataFrame([], schema)).collect() == []
+
+
+def shown(markup):
+    """Words that show, by the standard library's parser: another reading of the same pages, with no layout."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        CDATA_CONTENT_ELEMENTS = ("script", "style")
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.hidden, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("head", "script", "style", "template", "noscript")
+            if tag in ("p", "li", "br", "div", "h1", "ul", "nav", "article", "footer", "td"):
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("head", "script", "style", "template", "noscript")
+            if tag in ("p", "li", "div", "h1", "ul", "nav", "article", "footer", "td"):
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    w = Words()
+    w.feed(markup)
+    w.close()
+    return "".join(w.out).split()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the supplied tables")
+def test_words_of_all_pages_equal_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in texts(pages).collect()}
+    for r in pages.collect():
+        assert [w for w in got[r.page_id].split() if w != "-"] == [w for w in shown(r.html) if w != "-"]
+
+
+def test_hidden_stays_hidden_at_any_depth():
+    assert extract("<div>" * 1000 + "<div hidden>SECRET</div>shown") == "shown"
+    assert extract("<table><tr><td>" * 2000 + "deep") == "deep"
+    assert extract("<ul><li>" * 3000 + "deep").strip(" -") == "deep"
