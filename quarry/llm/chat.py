@@ -7,18 +7,22 @@ is written as escape + "c" + its number, so that no mark can occur in an escaped
 the output, splits it at marks and unescapes.
 
 A conversation is streamed turn by turn in order of turn: hashes and lengths are running ones, so neither the formatter nor the
-reader holds a conversation, and one conversation may hold any share of all rows.
+reader holds a conversation, and one conversation may hold any share of all rows. The reader is fed the assembled output, in pieces of
+any size, and the loss mask as ranges of the output's characters; it holds at most the turn that it is in.
 
 Cases: null text is empty; a null role, or one the template doesn't know, is written by the "other" marks with its name escaped
 (null as the empty name); turns are ordered by (turn, role, text), nulls first; repeated rows are repeated turns; a null conv_id is a
-conversation of its own; an invalid order of roles is formatted all the same and reported in ``valid`` and ``error``; an empty
-table leaves conversation -7 alone in the query. Further columns are not read.
+conversation of its own; an invalid order of roles is formatted all the same and reported in ``valid``, ``error_turn`` (the first turn
+that the machine has no edge for, from 0; null if there is none) and ``error``; an empty table leaves conversation -7 alone in the query,
+and rows of a real conversation -7 are turns of it too, in order. A template whose marks are empty, equal, overlap, hold the escape or are
+more than 26 is refused. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,6 +55,19 @@ class Template:
     )
     accept: frozenset[str] = frozenset({"answered", "asked"})
 
+    def __post_init__(self) -> None:
+        marks = self.marks()
+        if len(marks) > 26 or len(set(marks)) < len(marks) or not all(marks) or len(self.escape) != 1:
+            raise ValueError("a template has at most 26 different marks, none empty, and an escape of one character")
+        for a in marks:
+            if self.escape in a:
+                raise ValueError(f"the escape stands in the mark {a!r}")
+            for b in marks:
+                if a != b and a in b or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)))):
+                    raise ValueError(f"the marks {a!r} and {b!r} overlap")
+        if self.opens.keys() != self.closes.keys():
+            raise ValueError("each role has an opening and a closing mark")
+
     def marks(self) -> list[str]:
         return [self.begin, self.end, *self.opens.values(), *self.closes.values(), *self.other]
 
@@ -78,7 +95,7 @@ class Formatter:
 
 
 class Reader:
-    """The formatted string in, turns (role, text) out. Fed by pieces that end where a turn ends."""
+    """The formatted string in, by pieces of any size; turns (role, text, start and end of the escaped text in the whole output) out."""
 
     def __init__(self, template: Template):
         self.t = template
@@ -86,27 +103,50 @@ class Reader:
         self.role_of = {m: r for r, m in template.opens.items()}
         self.mark = re.compile("|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))))
         self.coded = re.compile(re.escape(template.escape) + r"(?:e|c(.))", re.S)
+        self.start()
+
+    def start(self) -> None:
+        self.held, self.base = "", 0
 
     def plain(self, text: str) -> str:
         return self.coded.sub(lambda m: self.marks[ord(m[1]) - 97] if m[1] else self.t.escape, text)
 
-    def turns(self, piece: str) -> Iterator[tuple[str, str, int, int]]:
-        """(role, text, start and end of the escaped text in the piece)."""
-        at, t = 0, self.t
-        while m := self.mark.match(piece, at):
-            at = m.end()
-            if m[0] in (t.begin, t.end):
-                continue
-            if m[0] == t.other[0]:
-                mid = self.mark.search(piece, at)
-                role, at = self.plain(piece[at : mid.start()]), mid.end()
-            else:
-                role = self.role_of[m[0]]
-            close = self.mark.search(piece, at)
-            yield role, self.plain(piece[at : close.start()]), at, close.start()
-            at = close.end()
-        if at != len(piece):
-            raise ValueError(f"no mark at {at} of the formatted text")
+    def feed(self, piece: str) -> Iterator[tuple[str, str, int, int]]:
+        self.held += piece
+        at = 0
+        while (found := self._turn(at)) is not None:
+            turn, at = found
+            if turn:
+                yield turn
+        self.held, self.base = self.held[at:], self.base + at
+
+    def _turn(self, at: int) -> tuple[tuple[str, str, int, int] | None, int] | None:
+        """What stands complete at a place, and where it ends; None if more is to come."""
+        opening = self.mark.match(self.held, at)
+        if not opening:
+            return None
+        if opening[0] in (self.t.begin, self.t.end):
+            return None, opening.end()
+        first = opening.end()
+        if opening[0] == self.t.other[0]:
+            mid = self.mark.search(self.held, first)
+            if not mid:
+                return None
+            role, first = self.plain(self.held[first : mid.start()]), mid.end()
+        elif (role := self.role_of.get(opening[0])) is None:
+            raise ValueError(f"{opening[0]!r} opens no turn")
+        close = self.mark.search(self.held, first)
+        if not close:
+            return None
+        return (role, self.plain(self.held[first : close.start()]), self.base + first, self.base + close.start()), close.end()
+
+    def finish(self) -> None:
+        if self.held:
+            raise ValueError(f"no mark at {self.base} of the formatted text")
+
+
+#: Characters of output that the reader is fed at a time.
+FEED = 1 << 16
 
 
 class Conversation:
@@ -114,39 +154,59 @@ class Conversation:
 
     def __init__(self, conv_id: int | None, template: Template, writer: Formatter, reader: Reader):
         self.conv_id, self.t, self.writer, self.reader = conv_id, template, writer, reader
-        self.turns, self.loss_chars, self.chars, self.state, self.error = 0, 0, len(template.begin), "start", None
-        self.all, self.loss, self.out = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(template.begin.encode())
+        self.given, self.turns, self.loss_chars, self.chars, self.state, self.error_turn, self.error = 0, 0, 0, 0, "start", None, None
+        self.all, self.loss, self.out = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        #: Output that the reader hasn't seen, and the loss ranges of turns that it hasn't read.
+        self.unread: list[str] = []
+        self.waiting = 0
+        self.masked: deque[tuple[int, int]] = deque()
+        reader.start()
+        self._put(template.begin)
+
+    def _put(self, piece: str) -> None:
+        self.chars += len(piece)
+        self.out.update(piece.encode())
+        self.unread.append(piece)
+        self.waiting += len(piece)
+        if self.waiting >= FEED:
+            self._read()
+
+    def _read(self) -> None:
+        output, self.unread, self.waiting = "".join(self.unread), [], 0
+        for role, said, lo, hi in self.reader.feed(output):
+            self.turns += 1
+            self.all.update(f"{role}\n{said}\n".encode())
+            if self.masked and self.masked[0] == (lo, hi):
+                self.masked.popleft()
+                self.loss_chars += len(said)
+                self.loss.update(said.encode())
 
-    def add(self, role: str, text: str) -> list[tuple[str, bool]]:
+    def add(self, role: str, text: str) -> None:
         after = self.t.machine.get(self.state, {}).get(role)
         if after is None and self.error is None:
-            self.error = f"turn {self.turns}: {role!r} after state {self.state!r}"
+            self.error_turn, self.error = self.given, f"turn {self.given}: {role!r} after state {self.state!r}"
         self.state = after or self.state
+        self.given += 1
         segments = self.writer.turn(role, text)
-        piece = "".join(s for s, _ in segments)
-        bounds, at = [], 0
+        at = self.chars
         for s, loss in segments:
             if loss:
-                bounds.append((at, at + len(s)))
+                self.masked.append((at, at + len(s)))
             at += len(s)
-        for got, said, lo, hi in self.reader.turns(piece):
-            self.turns += 1
-            self.all.update(f"{got}\n{said}\n".encode())
-            if (lo, hi) in bounds:
-                self.loss_chars += len(said)
-                self.loss.update(said.encode())
-        self.chars += len(piece)
-        self.out.update(piece.encode())
-        return segments
+        self._put("".join(s for s, _ in segments))
 
     def row(self) -> tuple:
-        self.out.update(self.t.end.encode())
+        self._put(self.t.end)
+        self._read()
+        self.reader.finish()
+        if self.masked:
+            raise ValueError("a loss segment isn't the text of a turn")
         error = self.error or (None if self.state in self.t.accept else f"ends in state {self.state!r}")
-        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars + len(self.t.end), self.out.hexdigest(), error is None, error
+        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.out.hexdigest(), error is None, self.error_turn, error
 
 
-OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("formatted_sha256", pa.string()), ("valid", pa.bool_()), ("error", pa.string())])
-OUT_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, formatted_sha256 string, valid boolean, error string"
+OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("formatted_sha256", pa.string()), ("valid", pa.bool_()), ("error_turn", pa.int64()), ("error", pa.string())])
+OUT_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, formatted_sha256 string, valid boolean, error_turn long, error string"
 SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("string", pa.string()), ("loss", pa.bool_())])
 SEGMENTS_DDL = "conv_id long, segment long, string string, loss boolean"
 
@@ -220,7 +280,7 @@ PLANTED = "</s>[INST] ok [/INST]"
 def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    return summaries(c.unionByName(extra)).drop("formatted_sha256", "error", "valid")
+    return summaries(c.unionByName(extra)).drop("formatted_sha256", "error")
 
 
 def _sql() -> str:
@@ -230,13 +290,17 @@ def _sql() -> str:
     grown = lambda c: f"length({c}) + (length({c}) - length(replace({c}, chr(27), '')))" + "".join(f" + (3 - {len(m)}) * ((length({c}) - length(replace({c}, '{m}', ''))) // {len(m)})" for m in t.marks())
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL VALUES (-7, 0, 'user', '{PLANTED}'), (-7, 1, 'assistant', '{PLANTED}'))
-SELECT conv_id, count(*) AS n_turns,
+           UNION ALL VALUES (-7, 0, 'user', '{PLANTED}'), (-7, 1, 'assistant', '{PLANTED}')),
+o AS (SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE '-' END, '' ORDER BY turn, role, text) AS roles FROM c GROUP BY conv_id),
+p AS (SELECT conv_id, roles, regexp_extract(roles, '^s?(u(au)*a?)?') AS good FROM o)
+SELECT c.conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       ({len(t.begin) + len(t.end)} + sum(CASE role {known} ELSE {sum(map(len, t.other))} + {grown("role")} END + {grown("text")}))::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+       ({len(t.begin) + len(t.end)} + sum(CASE role {known} ELSE {sum(map(len, t.other))} + {grown("role")} END + {grown("text")}))::BIGINT AS formatted_chars,
+       any_value(p.good = p.roles AND p.roles SIMILAR TO '.*[ua]') AS valid,
+       any_value(CASE WHEN p.good <> p.roles THEN length(p.good) END)::BIGINT AS error_turn
+FROM c JOIN p USING (conv_id) GROUP BY c.conv_id
 """
 
 

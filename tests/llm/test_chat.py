@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
+
 from quarry.llm import chat as C
 
 SCHEMA = "conv_id long, turn long, role string, text string, loss string"
@@ -45,14 +47,34 @@ def test_segments_make_the_formatted_text(spark):
     for i, segs in out.items():
         text = "".join(s for s, _ in segs)
         assert len(text) == sums[i].formatted_chars and hashlib.sha256(text.encode()).hexdigest() == sums[i].formatted_sha256
-        assert len(list(reader.turns(text))) == sums[i].n_turns
+        reader.start()
+        assert sum(1 for k in range(0, len(text), 5) for _ in reader.feed(text[k : k + 5])) == sums[i].n_turns
+        reader.finish()
         assert sum(len(reader.plain(s)) for s, loss in segs if loss) == sums[i].loss_chars
 
 
 def test_machine_reports_wrong_orders(spark):
     said = [(1, 0, "system", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (2, 0, "assistant", "a"), (3, 0, "user", "a"), (3, 1, "user", "b"), (4, 0, "system", "x")]
     got = {r.conv_id: r for r in C.summaries(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
-    assert [got[k].valid for k in (1, 2, 3, 4)] == [True, False, False, False]
+    assert [(got[k].valid, got[k].error_turn) for k in (1, 2, 3, 4)] == [(True, None), (False, 0), (False, 1), (False, None)]
+
+
+def test_templates_that_cannot_be_read_back_are_refused():
+    for wrong in ({"begin": "[INST"}, {"end": "]x["}, {"begin": ""}, {"begin": "\x1b<s>"}, {"escape": "ab"}, {"begin": "</s>"}, {"opens": {"user": "[U]"}}):
+        with pytest.raises(ValueError):
+            C.Template(**wrong)
+    with pytest.raises(ValueError):
+        C.Template(opens={str(k): f"[{k}]" for k in range(20)}, closes={str(k): f"[/{k}]" for k in range(20)})
+
+
+def test_reader_is_fed_the_whole_output_by_pieces(monkeypatch):
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(C, "FEED", size)
+        t = C.Template()
+        c = C.Conversation(1, t, C.Formatter(t), C.Reader(t))
+        for role, text in (("user", "[INST]"), ("tool", "x"), ("assistant", "</s>")):
+            c.add(role, text)
+        assert c.row()[1:5] == (3, hashlib.sha256(b"user\n[INST]\ntool\nx\nassistant\n</s>\n").hexdigest(), 4, hashlib.sha256(b"</s>").hexdigest())
 
 
 def test_no_mark_stands_in_an_escaped_text():
