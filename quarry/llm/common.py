@@ -17,14 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one Arrow batch. A Python worker holds one batch at a time, so this and the longest text bound its memory.
 BATCH_ROWS = 256
 
-#: A side of a join with at most this many rows may be broadcast; each such side has a few numbers a row.
-BROADCAST_ROWS = 50_000
+#: A side of a join with at most so many rows, and so many bytes where it is stored, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, only where it is unset, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors on several machines need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="staged-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,9 +48,18 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def small(df: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage df; mark it for broadcast only if its counted rows are within the limit, else leave a shuffled (skew-aware) join."""
+    """Stage df; mark it for broadcast only if its counted rows and its files' bytes are within the limits, else leave a shuffled (skew-aware) join."""
     out = staged(df, name)
-    return F.broadcast(out) if out.count() <= limit else out
+    size = int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(out) if size <= BROADCAST_BYTES and out.count() <= limit else out
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns, none of which df has in any case."""
+    taken, lead = {c.lower() for c in df.columns}, "__"
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
