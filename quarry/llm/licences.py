@@ -1,16 +1,24 @@
 """Licence scans by a generalised suffix automaton of licence templates' tokens.
 
-The templates' tokens, all templates together, build one suffix automaton. A file's tokens are streamed through it: after each token
-the state gives the matching statistic, the length of the longest run ending here that occurs in some template, and where. Runs
-that no longer run contains (maximal matches) of at least ``MIN_RUN`` tokens are chained per template in order of both the file and the
-template, with bounded gaps; a chain that covers enough of its template is a span of that licence. The score is the best cover of
-a template by a chain of the file, or 1 where a base phrase stands.
+The tokens of all templates build one suffix automaton. A file's tokens are streamed through it: after each token the state gives the
+matching statistic, the length of the longest run ending here that occurs in some template, and, where that is ``MIN_RUN`` at least, the
+state of its last ``MIN_RUN`` tokens gives every place of every template that reads on from there. Places that advance together are
+runs, so each template's maximal runs are found, also those within a longer run of another.
+
+Runs are chained per template by the best predecessor: a chain goes up in file and template, skips at most ``MAX_GAP`` words of the file
+between runs, and counts what overlaps once. A chain that covers ``COVER`` of its template (all of one under ``SHORT`` tokens) is a span of
+that licence; of spans of two licences that lie on each other, the one of more words stays. The score is the best cover of a template
+by a chain of the file, or 1 where a base phrase stands.
 
 Base phrases are counted apart, wherever their words stand consecutively, so the method adds labels and takes none away.
 
+Covered are MIT, BSD-2 and -3, ISC, zlib, Boost, Unlicense and WTFPL by their whole operative texts; Apache-2, GPL-2 and -3, LGPL, AGPL-3,
+MPL-2, EPL-2 and CC0 by their standard headers or opening passages; these and the CC BY family by common notices as well. The bodies
+of the long ones are not templates.
+
 Only the tokens in the templates' vocabulary move the automaton, any other resets it, so most of a file costs one look-up a token.
-Memory is that of a slice of the file: texts are read in slices of ``SLICE`` characters, cut between words, and the automaton, the
-phrases and the chains carry over.
+Memory is that of a slice of the file and its runs: texts are read in slices of ``SLICE`` characters, cut between words, and the
+automaton, the phrases and the runs carry over.
 
 Cases: null and empty texts have no words, null first and last word, empty labels and score 0; repeated rows give repeated results;
 an empty table gives no rows. Only the id and text columns are read.
@@ -18,7 +26,9 @@ an empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +41,41 @@ from .common import bounded_batches, lower_az, table
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licence -> clauses that mark it; each clause is a template of its own. Written for this scan, in the licences' usual wording.
+_BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_END = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to "
+    "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors "
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence "
+    "or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_MIT_END = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+
+
+def _gnu(name: str, version: str, what: str = "this program") -> str:
+    """The header that the GNU licences ask for."""
+    return (
+        f"{what} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation "
+        f"either version {version} of the license or at your option any later version {what} is distributed in the hope that it will be useful but without any warranty "
+        f"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} for more details"
+    )
+
+
+#: Licence -> templates, each one of its own: whole texts, standard headers and common notices. The licences' own wording.
 TEMPLATES = {
     "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software " + _MIT_END,
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense",
         "released under the mit license",
@@ -41,25 +83,62 @@ TEMPLATES = {
         "distributed under the terms of the mit license",
     ),
     "apache-2": (
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an "
+        "as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
         "licensed under the apache license version 2.0",
-        "you may not use this file except in compliance with the license",
         "released under the apache license version 2.0",
+        "you may not use this file except in compliance with the license",
     ),
+    "bsd-2": (_BSD_START + _BSD_END, "licensed under the bsd 2 clause license"),
     "bsd-3": (
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that",
+        _BSD_START + "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_END,
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         "licensed under the bsd 3 clause license",
     ),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    ),
+    "bsl-1": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
+        "distributed under the boost software license version 1.0",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",),
     "gpl-3": (
-        "this work is licensed under the gnu general public license version 3",
+        _gnu("general public license", "3"),
+        "the gnu general public license is a free copyleft license for software and other kinds of works the licenses for most software and other practical works are designed to take away your freedom to share and change the works",
         "licensed under the gnu general public license version 3",
         "released under the gnu general public license version 3",
     ),
-    "gpl-2": ("licensed under the gnu general public license version 2", "released under the gnu general public license version 2"),
-    "lgpl": ("licensed under the gnu lesser general public license",),
-    "agpl-3": ("licensed under the gnu affero general public license",),
-    "mpl-2": ("subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"),
+    "gpl-2": (
+        _gnu("general public license", "2"),
+        "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software",
+        "licensed under the gnu general public license version 2",
+        "released under the gnu general public license version 2",
+    ),
+    "lgpl": (_gnu("lesser general public license", "2.1", "this library"), _gnu("lesser general public license", "3"), "licensed under the gnu lesser general public license"),
+    "agpl-3": (_gnu("affero general public license", "3"), "licensed under the gnu affero general public license"),
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0",
+        "subject to the terms of the mozilla public license v 2.0",
+        "licensed under the mozilla public license version 2.0",
+    ),
+    "epl-2": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at",),
+    "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",),
     "cc-by-nc": ("licensed under cc by nc 4.0", "licensed under a creative commons attribution noncommercial 4.0 international license"),
     "cc-by-sa": ("licensed under cc by sa 4.0", "licensed under a creative commons attribution sharealike 4.0 international license"),
     "cc-by": ("licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"),
@@ -67,7 +146,7 @@ TEMPLATES = {
 
 MIN_RUN = 3
 MAX_GAP = 6
-COVER = 0.8
+COVER, SHORT = 0.8, 10
 SLICE = 1 << 18
 
 
@@ -76,26 +155,32 @@ def tokens_of(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Generalised: all templates' token strings in one automaton; each state knows one end place (template, tokens so far) per template it occurs in."""
+    """Generalised: all templates' token strings in one automaton; each state knows all places (template, tokens so far) where it ends."""
 
     def __init__(self, strings: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for number, string in enumerate(strings):
             last = 0
             for k, token in enumerate(string):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, k + 1)
+                self.ends[last].add((number, k + 1))
         for v in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            for number, k in self.ends[v].items():
-                self.ends[self.link[v]].setdefault(number, k)
+            self.ends[self.link[v]] |= self.ends[v]
+        self.ends[0] = set()
+
+    def suffix(self, state: int, length: int) -> int:
+        """The state of the last ``length`` tokens of a state's strings."""
+        while self.len[self.link[state]] >= length:
+            state = self.link[state]
+        return state
 
     def _state(self, length: int, link: int, arcs: dict[int, int]) -> int:
         self.next.append(arcs)
         self.link.append(link)
         self.len.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.len) - 1
 
     def _split(self, p: int, q: int, token: int) -> int:
@@ -151,6 +236,10 @@ class Scanner:
         for p, label in self.phrases:
             self.by_last.setdefault(p[-1], []).append((p, label))
         self.longest = max(len(p) for p, _ in self.phrases)
+        #: State -> places where its last MIN_RUN tokens end, for states of as many.
+        sa = self.automaton
+        self.places = [tuple(sorted(sa.ends[sa.suffix(v, MIN_RUN)])) if sa.len[v] >= MIN_RUN else () for v in range(len(sa.len))]
+        self.need = [n if n < SHORT else math.ceil(COVER * n) for n in self.sizes]
 
     @staticmethod
     def slices(text: str) -> Iterator[str]:
@@ -166,8 +255,10 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, int, int]]]:
         """(n_words, base places (first, last, label), maximal runs (first, last, template, template place of the first))."""
-        sa, number, n, base, runs = self.automaton, self.number, 0, [], []
+        sa, number, n, base = self.automaton, self.number, 0, []
+        runs: list[tuple[int, int, int, int]] = []
         state = length = 0
+        live: dict[tuple[int, int], int] = {}  # place that was reached -> the file's word where its run began
         tail: list[int] = []  # vocabulary numbers of the words just before
         gap_at = -1
         for piece in self.slices(text):
@@ -175,15 +266,21 @@ class Scanner:
             for k, token in ((k, t) for k, t in enumerate(ids) if t is not None):
                 k += n
                 if k != gap_at:  # other words stood between
-                    if length >= MIN_RUN:
-                        self._run(runs, gap_at - 1, state, length)
+                    if live:
+                        self._end(runs, live, gap_at - 1)
+                        live = {}
                     state = length = 0
                     tail.clear()
                 gap_at = k + 1
-                before, size = state, length
                 state, length = sa.step(state, length, token)
-                if length <= size and size >= MIN_RUN:
-                    self._run(runs, k - 1, before, size)
+                if length >= MIN_RUN:
+                    now = {(t, e): live.pop((t, e - 1), k - MIN_RUN + 1) for t, e in self.places[state]}
+                    if live:
+                        self._end(runs, live, k - 1)
+                    live = now
+                elif live:
+                    self._end(runs, live, k - 1)
+                    live = {}
                 tail.append(token)
                 if token in self.by_last:
                     for phrase, label in self.by_last[token]:
@@ -192,34 +289,46 @@ class Scanner:
                 if len(tail) > 4 * self.longest:
                     del tail[: -self.longest]
             n += len(ids)
-        if length >= MIN_RUN:
-            self._run(runs, gap_at - 1, state, length)
+        if live:
+            self._end(runs, live, gap_at - 1)
         return n, base, runs
 
-    def _run(self, runs: list, last: int, state: int, length: int) -> None:
-        runs.extend((last - length + 1, last, template, end - length) for template, end in self.automaton.ends[state].items())
+    @staticmethod
+    def _end(runs: list, live: dict[tuple[int, int], int], last: int) -> None:
+        runs.extend((first, last, t, e - (last - first + 1)) for (t, e), first in live.items())
+
+    def chains(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(covered tokens, template, first word, last word) of the best chain that ends with each run."""
+        out, near = [], {}
+        for first, last, t, at in sorted(runs):
+            end = at + last - first + 1
+            own = near.setdefault(t, [])
+            own[:] = [c for c in own if c[1] >= first - MAX_GAP - 1]
+            best = (last - first + 1, first)
+            for covered, upto, template_end, began, run_first, run_at in own:
+                if run_first < first and run_at < at and end > template_end and last > upto:
+                    fresh_tokens = last - first + 1 - max(0, upto + 1 - first, template_end - at)
+                    if fresh_tokens > 0:
+                        best = max(best, (covered + fresh_tokens, began))
+            own.append((best[0], last, end, best[1], first, at))
+            out.append((best[0], t, best[1], last))
+        return out
 
     def spans(self, runs: list[tuple[int, int, int, int]]) -> tuple[list[Span], float]:
-        """Chains per template, in order in file and template, with gaps of at most MAX_GAP words; the best cover of any."""
-        chains: dict[int, list[list[int]]] = {}
-        spans, best = [], 0.0
-        done = lambda template, c: c[2] / self.sizes[template]
-        for first, last, template, at in sorted(runs):
-            size, own = last - first + 1, chains.setdefault(template, [])
-            live = own[-1] if own else None
-            if live and first - live[1] <= MAX_GAP + 1 and at >= live[3] and first > live[1]:
-                live[1], live[2], live[3] = last, live[2] + size, at + size
-            elif live and last <= live[1]:
+        """Spans in order of place; the best cover of any template."""
+        found = self.chains(runs)
+        best = max((n / self.sizes[t] for n, t, _, _ in found), default=0.0)
+        enough = sorted((c for c in found if c[0] >= self.need[c[1]]), key=lambda c: (-c[0], c[0] / -self.sizes[c[1]], c[2], c[1]))
+        # Where spans lie on each other, the one of more words stays; those of one template never overlap.
+        starts: list[int] = []
+        kept: dict[int, tuple[int, Span]] = {}  # first word -> (last, span)
+        for n, t, first, last in enough:
+            k = bisect_left(starts, last + 1)
+            if k and kept[starts[k - 1]][0] >= first or k < len(starts) and starts[k] <= last:
                 continue
-            else:
-                own.append([first, last, size, at + size])
-        for template, own in chains.items():
-            for c in own:
-                cover = done(template, c)
-                best = max(best, cover)
-                if cover >= COVER:
-                    spans.append(Span(self.labels[template], c[0], c[1], min(1.0, cover)))
-        return sorted(spans, key=lambda s: (s.first, -s.last, s.label)), min(1.0, best)
+            insort(starts, first)
+            kept[first] = (last, Span(self.labels[t], first, last, n / self.sizes[t]))
+        return [kept[s][1] for s in starts], best
 
     def file(self, text: str) -> tuple[int, int, int | None, int | None, str, str, float, int]:
         n, base, runs = self.scan(text)

@@ -42,8 +42,73 @@ def test_automaton_statistics_equal_brute_force():
             state, length = sa.step(state, length, token)
             best = next(n for n in range(k + 1, -1, -1) if n == 0 or any(text[k - n + 1 : k + 1] == s[i : i + n] for s in strings for i in range(len(s))))
             assert length == best
-            for number, end in sa.ends[state].items() if length else ():
-                assert strings[number][end - length : end] == text[k - length + 1 : k + 1]
+            want = {(n, e) for n, s in enumerate(strings) for e in range(length, len(s) + 1) if s[e - length : e] == text[k - length + 1 : k + 1]} if length else set()
+            assert sa.ends[state] == want
+
+
+def tiny(strings):
+    return L.Scanner({f"l{k}": (" ".join(s),) for k, s in enumerate(strings)}, {"zz yy": "base"})
+
+
+def test_runs_equal_brute_force():
+    """Every maximal common run of three words or more of the file and each template."""
+    r = random.Random(4)
+    for _ in range(60):
+        strings = [[r.choice("abc") for _ in range(r.randint(3, 14))] for _ in range(r.randint(1, 4))]
+        text = [r.choice("abcx") for _ in range(50)]
+        want = set()
+        for t, s in enumerate(strings):
+            for i in range(len(text)):
+                for j in range(len(s)):
+                    if text[i] == s[j] and (i == 0 or j == 0 or text[i - 1] != s[j - 1]):
+                        n = 0
+                        while i + n < len(text) and j + n < len(s) and text[i + n] == s[j + n]:
+                            n += 1
+                        if n >= L.MIN_RUN:
+                            want.add((i, i + n - 1, t, j))
+        got = tiny(strings).scan(" ".join(text))[2]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_best_chain_equals_brute_force():
+    """The most tokens that any admissible sequence of runs covers, by trying all."""
+    r = random.Random(5)
+    for _ in range(40):
+        s = [r.choice("abcd") for _ in range(12)]
+        k = r.randint(3, 9)
+        text = s[:k] + s[r.randint(0, k) : r.randint(k, 12)] + ["x"] * r.randint(0, 8) + s[r.randint(0, k) :]
+        scanner = tiny([s])
+        runs = sorted(scanner.scan(" ".join(text))[2])
+
+        def extend(covered, run):
+            best = covered
+            for nxt in runs:
+                end, nend = run[3] + run[1] - run[0] + 1, nxt[3] + nxt[1] - nxt[0] + 1
+                if nxt[0] > run[0] and nxt[3] > run[3] and nend > end and nxt[1] > run[1] and nxt[0] - run[1] - 1 <= L.MAX_GAP:
+                    more = nxt[1] - nxt[0] + 1 - max(0, run[1] + 1 - nxt[0], end - nxt[3])
+                    if more > 0:
+                        best = max(best, extend(covered + more, nxt))
+            return best
+
+        want = max((extend(x[1] - x[0] + 1, x) for x in runs), default=0)
+        assert max((c[0] for c in scanner.chains(runs)), default=0) == want
+
+
+def test_repeated_and_overlapping_parts_are_chained():
+    s = L.scanner()
+    c = L.TEMPLATES["mit"][1].split()
+    for words in (c[:9] + c[:4] + c[9:], c[:8] + c[5:], c[:5] + ["in", "between"] + c[5:]):
+        out = s.file(" ".join(words))
+        assert out[5] == "mit" and out[6] == 1.0
+    assert s.file("this is licensed under the mit")[5] == ""
+
+
+def test_licences_that_share_wording_are_told_apart():
+    s = L.scanner()
+    for label in ("bsd-2", "bsd-3", "gpl-2", "gpl-3", "lgpl", "agpl-3", "mit", "isc", "zlib", "apache-2", "cc-by", "cc-by-nc", "cc-by-sa"):
+        for whole in L.TEMPLATES[label]:
+            assert label in s.file("x " * 30 + whole + " y" * 30)[5].split(",")
+            assert s.file(whole)[5].split(",") == [label], (label, whole)
 
 
 def test_templates_are_found_with_gaps_and_clean_text_is_not():
@@ -59,7 +124,7 @@ def test_templates_are_found_with_gaps_and_clean_text_is_not():
 
 
 def test_spans_and_empty(spark, empty):
-    docs = spark.createDataFrame([(1, "x " + L.TEMPLATES["mit"][0] + " y"), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + L.TEMPLATES["mit"][1] + " y"), (2, None)], "doc_id long, text string")
     (row,) = L.spans(docs).collect()
     assert (row.doc_id, row.label, row.first_word, row.cover) == (1, "mit", 1, 1.0)
     assert L.scan(empty).collect() == []
