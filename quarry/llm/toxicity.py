@@ -2,17 +2,21 @@
 
 The kernel counts common subsequences of three characters, each occurrence weighted by DECAY to the power of its span, up to ``SPAN``
 characters, and is normalised; so a word with a letter left out, put in or set apart is still near the insult. Its landmarks are words
-of labelled documents: those most tied to toxic ones, and common words of the others. Nyström features against the landmarks
-make the machine linear, and its weights fold back into one number a subsequence, so that a word is scored exactly by the sum over
+of labelled sentences: those most tied to toxic ones, and common words of the others. Nyström features against the landmarks
+make the machine linear, and its weights fold back into one number a subsequence, so that a unit is scored exactly by the sum over
 its own subsequences, without a look at the landmarks.
 
-Training is by multiple instances: a sentence or document is toxic if one of its units is. Units are the words, letters only, and runs
-of single letters put together (``i d i o t``). In rounds, the best units of each toxic document are the positives, the units of clean
-documents the negatives, the hardest of them added each round. A logistic curve on a text's four best units, the number of units
+Units are the words of a text, letters only (and once more with digits and signs that stand for letters read as these), runs of single
+letters put together (``i d i o t``), and windows across blanks: ``PARTS`` words at most, together of ``JOINED`` letters at most, read as one
+word, if that is surer than each of them (``idi ot``). Windows are many, so one counts only if it is surer than what clean training
+texts show (the second largest of their best ones).
+
+Training is by multiple instances: a text is toxic if one of its units is. In rounds, the best units of each toxic text are the
+positives; the negatives are all words of all clean training texts. A logistic curve on a text's four best units, the number of units
 beyond the margin and the number of all units gives its score.
 
-The machine is fitted on at most ``SAMPLE`` labelled documents of each class, the first by a digest of doc_id; only their distinct
-units reach the one task that fits it, and only the machine's numbers the driver. Everything else covers all rows.
+The machine is fitted on at most ``SAMPLE`` labelled documents of each class, the first by a digest of doc_id; only their texts reach the
+one task that fits it, and only the machine's numbers the driver. Everything else covers all rows.
 
 Cases: null, empty and unit-less texts have the score of a text in which nothing is found; a null label or doc_id never trains; several labels of a
 document each train; with no toxic or no clean label every score is the share of toxic labels (0 without labels); an empty
@@ -21,6 +25,7 @@ table gives no rows. The labels, lang, source and doc_id never enter a score.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -47,12 +52,29 @@ SLICE = 1 << 20
 TOKEN = re.compile(WORD)
 NO_LETTER = re.compile(r"[\W\d_]+")
 LONGEST = 40
+#: Windows across blanks: words and letters at most, letters at least.
+PARTS, JOINED, LEAST = 4, 14, 5
+#: Letters that are looked at together for these.
+RUN = 1 << 20
+#: What digits and signs before a letter stand for. Fixed values.
+STANDS = str.maketrans("0134578@$!", "oieastbasi")
+STANDING = re.compile(r"[0134578@$!]+(?=[^\W\d_])")
 
 
 def letters(token: str) -> str:
     return NO_LETTER.sub("", token)
 
 
+def readings(token: str) -> list[str]:
+    """The words that a token may be: its letters, and those with digits and signs before letters read as such."""
+    if token.isalpha():
+        return [token]
+    out = [letters(token)]
+    if STANDING.search(token):
+        out.append(letters(STANDING.sub(lambda m: m[0].translate(STANDS), token)))
+    return out
+
+
 def slices(text: str) -> Iterator[str]:
     at = 0
     while at < len(text):
@@ -105,117 +127,211 @@ def subsequences(word: str) -> dict[str, float]:
     return out
 
 
+class Triples:
+    """Numbers by three characters, looked up for whole arrays of them; all characters count, whatever their number."""
+
+    def __init__(self, numbers: dict[str, float], missing: float = 0.0):
+        chars = sorted({c for k in numbers for c in k})
+        self.codes = np.zeros(0x110000, dtype=np.int32)
+        self.codes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.bits = max(7, len(chars).bit_length())
+        points = self.codes[np.array([[ord(c) for c in k] for k in numbers], dtype=np.int64).reshape(-1, 3)].astype(np.int64)
+        keys = points[:, 0] << 2 * self.bits | points[:, 1] << self.bits | points[:, 2]
+        values = np.fromiter(numbers.values(), dtype=float, count=len(numbers))
+        self.cube = None
+        if self.bits == 7:
+            self.cube = np.full(1 << 21, missing)
+            self.cube[keys] = values
+        else:
+            by = np.argsort(keys)
+            self.keys, self.values = np.concatenate([[-1], keys[by]]), np.concatenate([[missing], values[by]])
+            self.slots = np.zeros(1 << 22, dtype=np.int32)
+            self.slots[self._slot(self.keys[1:])] = np.arange(1, len(self.keys))
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+
+    def points(self, text: str) -> np.ndarray:
+        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+    def of(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if self.cube is not None:
+            return self.cube[a << 14 | b << 7 | c]
+        key = a.astype(np.int64) << 2 * self.bits | b.astype(np.int64) << self.bits | c
+        at = self.slots[self._slot(key)]
+        other = (at > 0) & (self.keys[at] != key)
+        if other.any():  # two keys in one slot: the sorted list decides
+            found = np.minimum(np.searchsorted(self.keys, key[other]), len(self.keys) - 1)
+            at[other] = np.where(self.keys[found] == key[other], found, 0)
+        return self.values[at]
+
+
 @dataclass
 class Model:
-    """weights: a number a subsequence. curve: intercept and slopes of what summary() gives."""
+    """weights: a number a subsequence. curve: intercept and slopes of what summary() gives. join: what a window across blanks must exceed."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -1.0
     curve: tuple[float, ...] = (0.0,)
+    join: float = math.inf
     known: dict[str, float] = field(default_factory=dict, repr=False)
-    #: Code point -> small number, and the weights by three of these, for the most common characters; built at first use.
-    codes: np.ndarray | None = field(default=None, repr=False)
-    cube: np.ndarray | None = field(default=None, repr=False)
-    #: The weights' other characters; words with one are summed from the weights themselves.
-    rare: frozenset[str] = field(default=frozenset(), repr=False)
+    #: The weights by three characters; built at first use.
+    triples: Triples | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "codes": None, "cube": None, "rare": frozenset()}
-
-    def _build(self) -> None:
-        seen = Counter(c for k in self.weights for c in k if ord(c) < 0x10000)
-        own = {c: n for n, (c, _) in enumerate(seen.most_common(127), 1)}
-        self.rare = frozenset(c for k in self.weights for c in k if c not in own)
-        self.codes = np.zeros(0x10000, dtype=np.int32)
-        for c, n in own.items():
-            self.codes[ord(c)] = n
-        self.cube = np.zeros(1 << 21)
-        for k, v in self.weights.items():
-            if all(c in own for c in k):
-                self.cube[own[k[0]] << 14 | own[k[1]] << 7 | own[k[2]]] = v
+        return self.__dict__ | {"known": {}, "triples": None}
+
+    def table(self) -> Triples:
+        if self.triples is None:
+            self.triples = Triples(self.weights)
+        return self.triples
 
     def _words(self, words: list[str]) -> np.ndarray:
         """Decisions of words of one length."""
-        n = len(words[0]) + 2
-        points = np.array([f"^{w}$" for w in words], dtype=f"U{n}").view(np.uint32).reshape(len(words), n)
-        c = self.codes[np.where(points < 0x10000, points, 0)]
+        n, t = len(words[0]) + 2, self.table()
+        c = t.codes[np.array([f"^{w}$" for w in words], dtype=f"U{n}").view(np.uint32).reshape(len(words), n)]
         total = np.zeros(len(words))
         for j, k in STEPS:
             if n > k:
-                total += self.cube[c[:, : n - k] << 14 | c[:, j : n - k + j] << 7 | c[:, k:]].sum(axis=1) * POWER[k + 1]
-        out = total / size_of(n) + self.bias
-        if self.rare:
-            for i, w in enumerate(words):
-                if not self.rare.isdisjoint(w):
-                    out[i] = sum(v * self.weights.get(k, 0.0) for k, v in subsequences(w).items()) + self.bias
-        return out
+                total += t.of(c[:, : n - k], c[:, j : n - k + j], c[:, k:]).sum(axis=1) * POWER[k + 1]
+        return total / size_of(n) + self.bias
 
     def decide(self, tokens: Iterable[str]) -> None:
         """Put the decisions of tokens into known: each the machine's signed distance, by lengths."""
-        if self.cube is None:
-            self._build()
         by_size: dict[int, list[tuple[str, str]]] = defaultdict(list)
         for t in tokens:
-            w = t if t.isalpha() else letters(t)
-            if not w:
-                self.known[t] = self.bias
-            elif len(w) <= LONGEST:
-                by_size[len(w)].append((t, w))
-            else:  # no word, perhaps several without space: its best part, by overlapping windows of the whole
-                parts = [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
-                whole = [x for x in parts if len(x) == LONGEST]
-                last = [x for x in parts if 3 <= len(x) < LONGEST]
-                self.known[t] = float(max([*self._words(whole), *(self._words([x])[0] for x in last)]))
+            self.known[t] = self.bias if t.isalpha() else LOWEST
+            for w in readings(t):
+                if not w:
+                    self.known[t] = max(self.known[t], self.bias)
+                elif len(w) <= LONGEST:
+                    by_size[len(w)].append((t, w))
+                else:  # no word, perhaps several without space: its best part, by overlapping windows of the whole
+                    parts = [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+                    whole = [x for x in parts if len(x) == LONGEST]
+                    last = [x for x in parts if 3 <= len(x) < LONGEST]
+                    self.known[t] = max(self.known[t], float(max([*self._words(whole), *(self._words([x])[0] for x in last)])))
         for own in by_size.values():
-            self.known.update(zip((t for t, _ in own), self._words([w for _, w in own]).tolist(), strict=True))
-
-    def summary(self, found: Iterable[str]) -> tuple[float, ...]:
+            for (t, w), d in zip(own, self._words([w for _, w in own]).tolist(), strict=True):
+                self.known[t] = d if w == t else max(self.known[t], d)
+
+    def windows(self, docs: list[list[str]]) -> list[float]:
+        """For each list of tokens, the best decision of a window across blanks that is surer than each of its parts; LOWEST if there is none."""
+        best, t = np.full(len(docs), LOWEST), self.table()
+        tokens = [x for d in docs for x in d]
+        if not tokens:
+            return best.tolist()
+        words = [x if x.isalpha() else letters(x) for x in tokens]
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        own = np.fromiter(map(self.known.__getitem__, tokens), dtype=float, count=len(tokens))
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        starts = np.concatenate([[0], ends[:-1]])
+        c = np.concatenate([t.points("".join(words)), np.zeros(SPAN, dtype=np.int32)])
+        n = len(c) - SPAN
+        # Sums over the first place of subsequences that span k + 1 characters, up to each place.
+        upto = {}
+        for k in range(2, SPAN):
+            row = sum(t.of(c[:n], c[j : n + j], c[k : n + k]) for j in range(1, k)) * POWER[k + 1]
+            upto[k] = np.concatenate([[0.0], np.cumsum(row)])
+        first, last = (np.full(1, x, dtype=np.int32) for x in t.points("^$"))
+        for m in range(2, PARTS + 1):
+            i = np.arange(len(tokens) - m + 1)
+            size = ends[i + m - 1] - starts[i]
+            i = i[(size >= LEAST) & (size <= JOINED) & (owner[i] == owner[i + m - 1])]
+            if not len(i):
+                continue
+            s, e = starts[i], ends[i + m - 1]
+            total = np.zeros(len(i))
+            for k in range(2, SPAN):
+                total += np.where(e - k > s, upto[k][np.maximum(e - k, s)] - upto[k][s], 0.0)
+                for j in range(1, k):
+                    total += (t.of(first, c[s + j - 1], c[s + k - 1]) + t.of(c[e - k], c[e - k + j], last)) * POWER[k + 1]
+            sizes = np.array([size_of(x + 2) for x in range(JOINED + 1)])
+            total = total / sizes[e - s] + self.bias
+            surer = total > np.max([own[i + k] for k in range(m)], axis=0) + 1e-6
+            np.maximum.at(best, owner[i[surer]], total[surer])
+        return best.tolist()
+
+    def summary(self, found: Iterable[str], window: float = -math.inf) -> tuple[float, ...]:
         """The four best decisions, the log of 1 + the units beyond the margin, the log of all units (8 at least); equal units count once."""
-        found = list(found)
+        d = list(map(self.known.__getitem__, found))
+        n = len(d)
+        if window > self.join:
+            d.append(window)
+        best = [max(x, LOW) for x in heapq.nlargest(4, d)]
+        return *best, *[LOW] * (4 - len(best)), math.log1p(sum(x > 0 for x in d)), math.log(max(8, n))
+
+    def summaries(self, texts: list[str | None]) -> list[tuple[float, ...]]:
+        """Of several texts; their new units are decided together, and their windows, RUN letters at a time."""
+        found = [units(t) for t in texts]
         if len(self.known) > MAX_TOKENS:
             self.known.clear()
-        if new := [t for t in found if t not in self.known]:
+        if new := set().union(*found).difference(self.known):
             self.decide(new)
-        d = sorted(map(self.known.__getitem__, found), reverse=True)[:400]
-        best = [max(x, LOW) for x in d[:4]] + [LOW] * (4 - len(d[:4]))
-        return *best, math.log1p(sum(x > 0 for x in d)), math.log(max(8, len(found)))
+        window = [LOWEST] * len(texts)
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            for (k, _), v in zip(held, self.windows([x for _, x in held]), strict=True):
+                window[k] = max(window[k], v)
+            held.clear()
+
+        for k, text in enumerate(texts):
+            before: list[str] = []  # windows reach across slices
+            for part in slices(text or ""):
+                tokens = before + TOKEN.findall(part.lower())
+                before = tokens[1 - PARTS :]
+                held.append((k, tokens))
+                size += len(part)
+                if size > RUN:
+                    flush()
+                    size = 0
+        flush()
+        return [self.summary(f, w) for f, w in zip(found, window, strict=True)]
 
     def score(self, text: str | None) -> float:
         return self.scores([text])[0]
 
     def scores(self, texts: Iterable[str | None]) -> list[float]:
-        """Of several texts; their new units are decided together, which spares most of the small array work."""
-        found = [units(t) for t in texts]
-        if len(self.known) > MAX_TOKENS:
-            self.known.clear()
-        if new := set().union(*found).difference(self.known):
-            self.decide(new)
         out = []
-        for f in found:
-            z = self.curve[0] + sum(k * x for k, x in zip(self.curve[1:], self.summary(f), strict=False))
+        for said in self.summaries(list(texts)):
+            z = self.curve[0] + sum(k * x for k, x in zip(self.curve[1:], said, strict=False))
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         return out
 
 
+#: Below any decision.
+LOWEST = -1e9
 #: Decisions below count alike.
 LOW = -0.5
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Squared hinge loss by Newton steps on the active rows; the last column of x is the intercept's."""
-    w = np.zeros(x.shape[1])
-    reg = np.eye(x.shape[1]) * ridge
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, w: np.ndarray) -> np.ndarray:
+    """Squared hinge loss by Newton steps on the active rows, BLOCK rows at a time, from w; the last entry of w is the intercept's."""
+    reg = np.eye(x.shape[1] + 1) * ridge
     reg[-1, -1] = 1e-6
     for _ in range(25):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        new = np.linalg.solve(reg + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ y[active])
-        if np.abs(new - w).max() < 1e-6:
-            break
+        square, right = reg.copy(), np.zeros(len(reg))
+        for at in range(0, len(x), BLOCK):
+            xs, ys, ws = x[at : at + BLOCK], y[at : at + BLOCK], weight[at : at + BLOCK]
+            active = ys * (xs @ w[:-1].astype(xs.dtype) + w[-1]) < 1
+            xa = np.column_stack([xs[active], np.ones(int(active.sum()), dtype=xs.dtype)])
+            scaled = xa * ws[active, None].astype(xs.dtype)
+            square += scaled.T @ xa
+            right += scaled.T @ ys[active].astype(xs.dtype)
+        new = np.linalg.solve(square, right)
+        if np.abs(new - w).max() < 1e-3 * np.abs(new).max():
+            return new
         w = new
     return w
 
 
+#: Rows that training works on together.
+BLOCK = 1 << 14
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -226,19 +342,37 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(examples: list[tuple[int, list[str]]]) -> Model:
-    """examples: (toxic, distinct units) of each labelled document."""
-    toxic = [set(u) for t, u in examples if t]
-    clean = [set(u) for t, u in examples if not t]
-    if not toxic or not clean:
-        share = len(toxic) / max(1, len(examples))
+def _nystrom(words: list[str], places: Triples, folded: np.ndarray) -> np.ndarray:
+    """Features of words: each subsequence's row of folded by its weight. places: numbers of rows, the last row being zero."""
+    out = np.zeros((len(words), folded.shape[1]), dtype=np.float32)
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for k, w in enumerate(words):
+        by_size[len(w)].append(k)
+    for size, own in by_size.items():
+        n = size + 2
+        for at in range(0, len(own), BLOCK):
+            pick = own[at : at + BLOCK]
+            c = places.codes[np.array([f"^{words[k]}$" for k in pick], dtype=f"U{n}").view(np.uint32).reshape(len(pick), n)]
+            rows = np.zeros((len(pick), folded.shape[1]), dtype=np.float32)
+            for j, k in STEPS:
+                for i in range(n - k):
+                    rows += folded[places.of(c[:, i], c[:, i + j], c[:, i + k]).astype(np.int64)] * np.float32(POWER[k + 1] / size_of(n))
+            out[pick] = rows
+    return out
+
+
+def fit(examples: list[tuple[int, str]]) -> Model:
+    """examples: (toxic, text) of each labelled document."""
+    n_toxic, n_clean = sum(t for t, _ in examples), sum(1 - t for t, _ in examples)
+    if not n_toxic or not n_clean:
+        share = n_toxic / max(1, len(examples))
         return Model(curve=(math.log((share + 1e-9) / (1 - share + 1e-9)),))
-    plain = lambda docs: [{w for w in map(letters, d) if 1 <= len(w) <= LONGEST} for d in docs]
-    toxic, clean = plain(toxic), plain(clean)
-    df1, df0 = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    tie = lambda w: math.log((df1[w] + 0.05) / (len(toxic) + 0.1)) - math.log((df0[w] + 0.5) / (len(clean) + 1))
+    plain = lambda text: {w for u in units(text) for w in readings(u) if 1 <= len(w) <= LONGEST}
+    toxic = [plain(x) for t, x in examples if t]
+    df1, df0 = Counter(w for d in toxic for w in d), Counter(w for t, x in examples if not t for w in plain(x))
+    tie = lambda w: math.log((df1[w] + 0.05) / (len(toxic) + 0.1)) - math.log((df0[w] + 0.5) / (n_clean + 1))
     #: How sure the tie is: documents beyond what the clean ones' rate explains.
-    sure = {w: (n - len(toxic) * (df0[w] + 1) / (len(clean) + 2)) / math.sqrt(n + 1) for w, n in df1.items()}
+    sure = {w: (n - len(toxic) * (df0[w] + 1) / (n_clean + 2)) / math.sqrt(n + 1) for w, n in df1.items()}
     ranked = sorted((w for w in df1 if sure[w] > 1.2 and tie(w) > 1.4), key=lambda w: (-sure[w], w))
     common = [w for w, _ in sorted(df0.items(), key=lambda x: (-x[1], x[0]))]
     marks = list(dict.fromkeys(ranked[: LANDMARKS * 2 // 3] + common[: LANDMARKS - min(len(ranked), LANDMARKS * 2 // 3)]))
@@ -254,14 +388,7 @@ def fit(examples: list[tuple[int, list[str]]]) -> Model:
     val, vec = np.linalg.eigh(base.T @ base)
     root = vec[:, val > 1e-8] / np.sqrt(val[val > 1e-8])
     folded = base @ root  # subsequence -> Nyström features
-
-    cache: dict[str, np.ndarray] = {}
-
-    def of(word: str) -> np.ndarray:
-        if word not in cache:
-            m = [(place[k], v) for k, v in subsequences(word).items() if k in place]
-            cache[word] = np.array([v for _, v in m]) @ folded[[k for k, _ in m]] if m else np.zeros(folded.shape[1])
-        return cache[word]
+    places, rows = Triples({k: float(v) for k, v in place.items()}, float(len(place))), np.vstack([folded, np.zeros(folded.shape[1])]).astype(np.float32)
 
     def folded_back(w: np.ndarray) -> Model:
         full = folded @ w[:-1]
@@ -271,36 +398,49 @@ def fit(examples: list[tuple[int, list[str]]]) -> Model:
     for d in toxic:
         best = sorted((w for w in d if sure[w] > 1.2 and tie(w) > 1.4), key=lambda w: (-sure[w], w))[:4]
         positives.update(best)
-    spread = sorted(df0, key=lambda w: zlib.crc32(w.encode()))
-    negatives = set(common[:1500]) | set(spread[:6000])
-    pool = set(spread[:60_000]) | set(common[:20_000])
-    w = np.zeros(folded.shape[1] + 1)
+    words = sorted(df0.keys() | df1.keys())
+    number = {w: k for k, w in enumerate(words)}
+    x = _nystrom(words, places, rows)
+    clean = np.array([number[w] for w in words if df0[w]], dtype=np.int64)
+    weight0 = np.array([1 + math.log1p(df0[words[k]]) for k in clean])
+    w, hard = np.zeros(folded.shape[1] + 1), np.ones(len(clean), dtype=bool)
+    model = Model()
     for _ in range(ROUNDS):
-        pos = list(positives)
-        neg = [x for x in sorted(negatives) if x not in positives or df0[x]]
-        x = np.column_stack([np.array([of(v) for v in pos + neg]).reshape(len(pos) + len(neg), folded.shape[1]), np.ones(len(pos) + len(neg))])
-        y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
+        if not positives:
+            break
+        pos = np.array([number[v] for v in positives], dtype=np.int64)
         # A document's units share its weight; the classes weigh alike.
-        wt = np.array([math.sqrt(positives[v]) for v in pos] + [1 + math.log1p(df0[v]) for v in neg])
-        wt[: len(pos)] *= 1 / max(1e-9, wt[: len(pos)].sum())
-        wt[len(pos) :] *= 1 / max(1e-9, wt[len(pos) :].sum())
-        w = _newton(x, y, wt * 400, 1.0)
+        weight1 = np.sqrt(np.array(list(positives.values()), dtype=float))
+        own = np.concatenate([pos, clean])
+        # Of the negatives, those that the round before left within the margin make up the class's weight; at first all do.
+        wt = np.concatenate([weight1 / weight1.sum(), weight0 / max(weight0[hard].sum(), 1e-9)]) * 400
+        w = _newton(x[own], np.concatenate([np.ones(len(pos)), -np.ones(len(clean))]), wt, 1.0, w)
         model = folded_back(w)
-        model.decide(pool | df1.keys())
-        hard = {v: model.known[v] for v in pool}
-        negatives |= {v for v in positives if df0[v]} | set(sorted(hard, key=lambda v: (-hard[v], v))[:3000])
+        decided = x @ w[:-1].astype(np.float32) + w[-1]
+        hard = decided[clean] > -0.5
         again: Counter = Counter()
         for d in toxic:
-            own = sorted(((model.known[v], v) for v in d if tie(v) > 1.2), reverse=True)[:4]
-            again.update(v for s, v in own if s > (-0.2 if sure[v] > 1.2 else 0.2))
+            mine = sorted(((float(decided[number[v]]), v) for v in d if tie(v) > 1.2), reverse=True)[:4]
+            again.update(v for s, v in mine if s > (-0.2 if sure[v] > 1.2 else 0.2))
         positives = again or positives
-    if not positives:
+    if not model.weights:
         share = len(toxic) / len(examples)
         return Model(curve=(math.log(share / (1 - share)),))
-    model = folded_back(w)
-    summaries = [(t, *model.summary(u)) for t, u in examples]
+    del x
+    found: list[tuple] = []
+    for step in range(2):
+        found = []
+        for at in range(0, len(examples), 256):
+            part = examples[at : at + 256]
+            if step == 0:  # what clean texts show across blanks
+                model.decide(set().union(*(units(t) for _, t in part)).difference(model.known))
+                found += [v for (t, _), v in zip(part, model.windows([TOKEN.findall(x.lower()) for _, x in part]), strict=True) if not t]
+            else:
+                found += [(t, *s) for (t, _), s in zip(part, model.summaries([x for _, x in part]), strict=True)]
+        if step == 0:
+            model.join = max(0.0, *heapq.nlargest(2, found)[-1:])
     # A toxic document in which nothing is found tells nothing about what is found in others.
-    held = np.array([r for r in summaries if not r[0] or r[1] > 0])
+    held = np.array([r for r in found if not r[0] or r[1] > 0])
     model.curve = tuple(float(v) for v in _logistic(held[:, 1:], held[:, 0]))
     model.known.clear()
     return model
@@ -320,22 +460,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     # At most 2 * sample ids: a proven bound.
     both = F.broadcast(chosen[0].unionByName(chosen[1]))
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(units(t.as_py())) for t in b.column(1)], pa.list_(pa.string()))], names=["label", "units"])
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(t, u) for b in batches for t, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        examples = [(t, x or "") for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         m = fit(sorted(examples))
-        names = [*(f"weight {k}" for k in m.weights), "bias", *(f"curve {k}" for k in range(len(m.curve)))]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*m.weights.values(), m.bias, *m.curve], pa.float64())], names=["name", "value"])
+        names = [*(f"weight {k}" for k in m.weights), "bias", "join", *(f"curve {k}" for k in range(len(m.curve)))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*m.weights.values(), m.bias, m.join, *m.curve], pa.float64())], names=["name", "value"])
 
     rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text")).join(both, F.col("own_id") == F.col("label_id"))
     # One task fits the machine: at most 2 * sample rows reach it. The model has a number a subsequence of its landmarks.
-    found = rows.select("label", "text").mapInArrow(own, "label int, units array<string>").repartition(1).mapInArrow(learn, "name string, value double").collect()
+    found = rows.select("label", "text").repartition(1).mapInArrow(learn, "name string, value double").collect()
+    if not found:
+        return fit([])
     said_of = {r.name: r.value for r in found}
     curve = tuple(v for _, v in sorted((int(k[6:]), v) for k, v in said_of.items() if k.startswith("curve ")))
-    return Model({k[7:]: v for k, v in said_of.items() if k.startswith("weight ")}, said_of["bias"], curve)
+    return Model({k[7:]: v for k, v in said_of.items() if k.startswith("weight ")}, said_of["bias"], curve, said_of["join"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

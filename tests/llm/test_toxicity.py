@@ -58,7 +58,7 @@ def test_held_out_labels_and_other_columns_do_not_matter(spark, labelled):
 
 def test_machine_equals_its_kernel():
     """The folded weights give what the sum over subsequences of the word gives."""
-    m = T.fit([(k % 2, sorted({VILE[k % 4] if k % 2 else "plain", "some", "words" + "abc"[k % 3]})) for k in range(60)])
+    m = T.fit([(k % 2, " ".join([VILE[k % 4] if k % 2 else "plain", "some", "words" + "abc"[k % 3]])) for k in range(60)])
     for w in (*VILE, "grobxnik", "some", "zzz"):
         m.decide([w])
         want = sum(v * m.weights.get(k, 0.0) for k, v in T.subsequences(w).items()) + m.bias
@@ -105,6 +105,46 @@ def test_short_insults_are_learned():
     r = random.Random(3)
     vocab = ["".join(chr(0x4E00 + r.randrange(400)) for _ in range(2)) for _ in range(600)]
     bad = chr(0x6000) + chr(0x6001)
-    say = lambda *more: sorted({*r.sample(vocab, 12), *more})
+    say = lambda *more: " ".join([*r.sample(vocab, 12), *more])
     m = T.fit([(0, say()) for _ in range(150)] + [(1, say(bad)) for _ in range(150)])
     assert m.score(" ".join([*r.sample(vocab, 12), bad])) > 0.7 > 0.3 > m.score(" ".join(r.sample(vocab, 12)))
+
+
+def test_windows_across_blanks_equal_their_joined_words():
+    """The best of all windows of two to four words, by joining each and deciding it as a word."""
+    r = random.Random(12)
+    m = T.fit([(k % 2, " ".join([VILE[k % 4]] * (k % 2) + [word(r) for _ in range(6)])) for k in range(200)])
+    docs = [[r.choice(["gro", "bnik", "grob", "nik", "sn", "arf", "head", "a", "9", "o'b", *VILE]) for _ in range(r.randint(0, 9))] for _ in range(80)]
+    got_of = m.windows
+    m.decide({x for d in docs for x in d})
+    for d, got in zip(docs, got_of(docs), strict=True):
+        want = T.LOWEST
+        for i in range(len(d)):
+            for n in range(2, T.PARTS + 1):
+                part = d[i : i + n]
+                whole = "".join(map(T.letters, part))
+                if len(part) == n and T.LEAST <= len(whole) <= T.JOINED:
+                    other = T.Model(m.weights, m.bias)
+                    other.decide([whole])
+                    if other.known[whole] > max(m.known[x] for x in part) + 1e-6:
+                        want = max(want, other.known[whole])
+        assert got == pytest.approx(want)
+
+
+def test_split_and_spelled_insults_are_found(spark, labelled):
+    docs, labels, said = labelled
+    m = T.train(docs, labels)
+    clean = next(r.text for r in docs.collect() if not said[r.doc_id] and len(r.text.split()) > 60)
+    assert m.score(clean) < 0.7
+    for insult in ("grobnik", "grob-nik", "g r o b n i k", "grob nik", "gr ob ni k", "gr0bn1k", "GROBxNIK"):
+        assert m.score(f"{clean} {insult} {clean}") >= 0.7, insult
+
+
+def test_slices_carry_windows_over(monkeypatch, spark, labelled):
+    docs, labels, _ = labelled
+    m = T.train(docs, labels)
+    text = "some plain words here " * 5 + "grob nik " + "and more of these " * 5
+    whole = m.summaries([text])
+    monkeypatch.setattr(T, "SLICE", 16)
+    monkeypatch.setattr(T, "RUN", 50)
+    assert m.summaries([text])[0] == pytest.approx(whole[0])
