@@ -170,19 +170,22 @@ class Bpe:
         if k := len(common):
             members = [(n, last, owed[k:]) for n, last, owed in members]
         key = tuple(members)
+        if len(self.states) > MAX_STATES:  # also within one very long piece
+            self._reset()
+            state = -1
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        out = self.arcs[state << 8 | byte] = to, common
+        out = to, common
+        if state >= 0:
+            self.arcs[state << 8 | byte] = out
         return out
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of one piece, each as soon as no later byte can change it."""
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        state, arcs = 0, self.arcs
+        state = 0
         for byte in data:
-            state, out = arcs.get(state << 8 | byte) or self._arc(state, byte)
+            state, out = self.arcs.get(state << 8 | byte) or self._arc(state, byte)
             if out:
                 yield from out
         yield from self.states[state][0][2]

@@ -54,6 +54,20 @@ def small(df: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(out) if size <= BROADCAST_BYTES and out.count() <= limit else out
 
 
+#: Rows of one key that one task joins.
+HOT = 500
+
+
+def matched(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """many left join one, which has each key once. A key of more than HOT rows is dealt out by a salt, with a copy of its one row for each share."""
+    n, shares, salt = fresh(many.join(one.limit(0), key), "n", "shares", "salt")
+    hot = small(many.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > HOT).select(key, F.ceil(F.col(n) / HOT).cast("int").alias(shares)), "hot")
+    of = F.coalesce(shares, F.lit(1))
+    dealt = many.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*many.columns), of).cast("int")).drop(shares)
+    copies = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), of - 1))).drop(shares)
+    return dealt.join(copies, [key, salt], "left").drop(salt)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for internal columns, none of which df has in any case."""
     taken, lead = {c.lower() for c in df.columns}, "__"

@@ -11,7 +11,7 @@ shared chunks are all that is joined. ``restore`` fetches borrowed chunks by dig
 digests of chunks and whole before decoding.
 
 The query stores all media in the shared folder and rebuilds each from there; lengths, digests and features come from what is
-read back. In joins, a key of more than ``HOT`` rows is dealt out by a salt, with a copy of its one row for each share, and copies
+read back. In joins, a key of more than ``common.HOT`` rows is dealt out by a salt, with a copy of its one row for each share, and copies
 of a media leave a task once, so no chunk or copied media makes a large task.
 
 Cases: null and empty texts give one frame of 576 bytes 255; equal texts give equal values; repeated rows share all chunks; a null
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, small, staged, table
+from .common import bounded_batches, matched, shared_dir, small, staged, table
 
 FRAME = 576
 RATE = 8000
@@ -41,8 +41,6 @@ MASK = np.uint32(0xFFE00000)
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], dtype=np.uint32)
 #: Bytes that are hashed at a time.
 RUN = 1 << 20
-#: Rows of one key that one task joins.
-HOT = 500
 
 
 def payload_of(data: bytes) -> tuple[int, bytes]:
@@ -290,14 +288,6 @@ def chunk_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/packs").select(F.explode(F.arrays_zip("own", "bytes")).alias("c")).select(F.col("c.own").alias("digest"), F.col("c.bytes").alias("bytes"))
 
 
-def matched(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """many left join one, which has each key once. A key of more than HOT rows is dealt out by a salt."""
-    hot = small(many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("shares")), "hot")
-    dealt = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
-    copies = one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    return dealt.join(copies, [key, "salt"], "left").drop("salt")
-
-
 def _media(spark: SparkSession, path: str) -> DataFrame:
     """(media_sha256, chunk_list, own, bytes, borrowed, lenders' chunks): what rebuilds each distinct media.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD, bounded_batches, lower_az, staged, table
+from .common import WORD, bounded_batches, fresh, lower_az, matched, staged, table
 
 SEED = 42
 DISTANCE = 2
@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     roots = components(links(nodes.select("fp"), distance))
     comp = staged(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = staged(comp.groupBy("root").agg(F.min("least").alias("component_id")).join(comp.select("fp", "root"), "root").select("fp", "component_id", "root"), "ids")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id", "root")
+    # Copies share a fingerprint, perhaps a third of all rows: such keys are dealt out.
+    return matched(prints, ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,12 +260,14 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id",
     """
     found = staged(near_duplicates(docs, distance, id_col, text_col), "found")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays, stays_fp, own_fp = fresh(docs, "stays", "stays_fp", "own_fp")
+    given = F.col(f"`{id_col}`")
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return docs.join(own.select(F.col("doc_id").alias("_stays")), F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
-    one = own.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one")).select(F.col("one.doc_id").alias("_stays"), F.col("one.fp").alias("_stays_fp"))
-    out = with_fingerprint(docs, "_own_fp", text_col)
-    out = out.join(one, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_own_fp") == F.col("_stays_fp")), "left_semi")
-    return out.dropDuplicates([id_col, "_own_fp"]).drop("_own_fp")
+        return docs.join(own.select(F.col("doc_id").alias(stays)), given.eqNullSafe(F.col(stays)), "left_semi")
+    one = own.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one")).select(F.col("one.doc_id").alias(stays), F.col("one.fp").alias(stays_fp))
+    out = with_fingerprint(docs, own_fp, text_col)
+    out = out.join(one, given.eqNullSafe(F.col(stays)) & (F.col(own_fp) == F.col(stays_fp)), "left_semi")
+    return out.dropDuplicates([id_col, own_fp]).drop(own_fp)
 
 
 def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:

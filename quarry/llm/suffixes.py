@@ -6,11 +6,15 @@ what needs no shard at all, is decided by anchors:
 
 1. Each window has an anchor: the least hash among its GRAM-byte strings, leftmost on ties. Equal windows have equal anchors at
    equal offsets. Neighbouring windows with one anchor make a run.
-2. Runs with equal anchor, bytes and place (a digest) are compared by that alone: all but the earliest are repeats in every window.
-   A map task settles its own before the shuffle and sends what it settled elsewhere, so copies don't pile up at their anchors.
+2. Runs with equal anchor, bytes and place (128 bits of anchor hash and digest) are compared by that alone: all but the earliest are
+   repeats in every window. A map task settles its own before the shuffle, within a batch and against the repeated runs of its earlier
+   batches (``KEPT`` at most are remembered; what isn't is settled later, with the same result), and sends what it settled elsewhere,
+   so copies don't pile up at their anchors.
 3. Earliest runs whose anchor has runs with other bytes may share only some windows. Only these runs' bytes go to shards, by anchor.
-   A shard joins its runs' bytes, sorts all suffixes by induction (suffix types, leftmost-smaller substrings sorted recursively, then two
-   passes over the buckets), computes the permuted common prefixes up to WIDTH, and reads off the classes.
+   A shard joins its runs' bytes, sorts all suffixes by induction (suffix types, leftmost-smaller substrings sorted by a first induction
+   and named, then two passes over the buckets), computes the permuted common prefixes up to WIDTH, and reads off the classes. The
+   string of names is sorted by prefix doubling, not by a further level of induction: names have no small alphabet, so its buckets
+   can't be passed over as arrays. The result is the same.
    An anchor with more than ``HOT`` such runs is dealt to several shards by a salt; then a shard reports the digest and earliest start of
    each class it found, and the classes are joined by digest.
 4. Repeated windows of a document are joined to intervals and cut from its bytes.
@@ -19,7 +23,8 @@ Nothing grows with a group: rows pass in order of (anchor, digest, place) with o
 
 Cases: null texts are empty; texts shorter than WIDTH have no windows; repeated rows of one document are one document and get the same
 result; rows that share a doc_id but differ in text: the one with the smallest digest stands in the corpus, the others are returned
-whole; a null doc_id comes before all others; an empty table gives no rows; further columns are kept by ``dedup``.
+whole; a null doc_id comes before all others; ids that aren't integers (strings, say) stand in their own order; an empty table gives no
+rows; further columns are kept by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, table
+from .common import bounded_batches, fresh, staged, table
 
 WIDTH = 100
 GRAM = 32
@@ -41,6 +46,8 @@ HOT = 2000
 SHARD = 1 << 20
 #: Window starts that are hashed at a time.
 PIECE = 1 << 20
+#: Repeated runs that a map task remembers from batch to batch.
+KEPT = 1 << 17
 U = np.uint64
 MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 BASE = 0x5851F42D4C957F2D
@@ -267,6 +274,8 @@ def _anchored(docs: DataFrame, width: int) -> DataFrame:
     """docs: (doc, text), each doc once. Rows (anchor, digest, doc, first, last, repeat): repeat where the task itself saw earlier equal runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        #: The earliest place that left this task of runs that repeated in some batch: anchor, digest, doc, first, sorted by the first two.
+        held = tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
         for b in batches:
             # Rows leave in the documents' order, so that settled runs of one stand together.
             docs_, cols = b.column(0).to_numpy(zero_copy_only=False), []
@@ -281,6 +290,7 @@ def _anchored(docs: DataFrame, width: int) -> DataFrame:
             by = np.lexsort((first, doc, digest, anchor))
             repeat = np.zeros(len(by), dtype=bool)
             repeat[by[1:]] = (anchor[by[1:]] == anchor[by[:-1]]) & (digest[by[1:]] == digest[by[:-1]])
+            held = _remembered(held, anchor, digest, doc, first, by, repeat)
             # Settled runs that touch are one; they go by their document, not by their anchor.
             r = np.flatnonzero(repeat)
             r_doc, r_first, r_last = doc[r], first[r], last[r]
@@ -302,6 +312,38 @@ def _anchored(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, digest long, doc long, first long, last long, repeat boolean")
 
 
+def _remembered(held: tuple, anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, first: np.ndarray, by: np.ndarray, repeat: np.ndarray) -> tuple:
+    """Mark in repeat the runs that an earlier batch's run settles, and return what is held for the next."""
+    sorted_repeat = repeat[by]
+    heads = by[~sorted_repeat]
+    if len(held[0]):
+        # Where a held key would stand among the heads' keys: anchors first, digests among equal ones.
+        lo, hi = np.searchsorted(held[0], anchor[heads], "left"), np.searchsorted(held[0], anchor[heads], "right")
+        at, upto = lo, hi.copy()
+        while (open_ := at < upto).any():
+            mid = (at + upto) // 2
+            less = open_ & (held[1][np.minimum(mid, len(held[1]) - 1)] < digest[heads])
+            at, upto = np.where(less, mid + 1, at), np.where(open_ & ~less, mid, upto)
+        found = at < hi
+        found[found] = held[1][at[found]] == digest[heads[found]]
+        k, own = at[found], heads[found]
+        later = (held[2][k] < doc[own]) | ((held[2][k] == doc[own]) & (held[3][k] < first[own]))
+        repeat[own[later]] = True
+        # An earlier one than is held leaves too, and is held from now on.
+        held[2][k[~later]], held[3][k[~later]] = doc[own[~later]], first[own[~later]]
+        known = np.zeros(len(heads), dtype=bool)
+        known[found] = True
+    else:
+        known = np.zeros(len(heads), dtype=bool)
+    several = np.append(sorted_repeat[1:], False)[~sorted_repeat]  # heads that repeated within the batch
+    new = heads[several & ~known][: KEPT - len(held[0])]
+    if not len(new):
+        return held
+    more = tuple(np.concatenate([h, c[new]]) for h, c in zip(held, (anchor, digest, doc, first), strict=True))
+    order = np.lexsort((more[1], more[0]))
+    return tuple(m[order] for m in more)
+
+
 def _settled(anchored: DataFrame) -> DataFrame:
     """Runs that repeat an earlier equal one (repeat), and earliest runs of anchors with several (not repeat). Streams sorted rows."""
 
@@ -458,24 +500,34 @@ def intervals(found: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """docs with _cut: the byte intervals to remove, null where nothing is."""
+    """docs with a last column, the byte intervals to remove, null where nothing is."""
     bounded_batches(docs.sparkSession, 128)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumns({"_doc": doc, "_hash": F.xxhash64(text)})
-    texts = named.select(F.col("_doc").alias("doc"), text.alias("text"), "_hash")
-    ids = named.groupBy("_doc").agg(F.count("*").alias("n"), F.min("_hash").alias("least"))
-    twice = staged(ids.where(F.col("n") > 1), "twice")  # ids of several rows
+    n_doc, n_hash, n_least, n_cut, n_own = fresh(docs, "doc", "hash", "least", "cut", "own")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    named = _numbered(docs, id_col, n_doc).withColumn(n_hash, F.xxhash64(text))
+    texts = named.select(F.col(n_doc).alias("doc"), text.alias("text"), F.col(n_hash).alias("hash"))
+    ids = named.groupBy(F.col(n_doc).alias(n_own)).agg(F.count("*").alias("n"), F.min(n_hash).alias(n_least))
+    twice = staged(ids.where(F.col("n") > 1).drop("n"), "twice")  # ids of several rows
     if not twice.isEmpty():
-        own = twice.select(F.col("_doc").alias("doc"), "least")
-        texts = texts.join(own, "doc", "left").where(F.col("least").isNull() | (F.col("least") == F.col("_hash"))).dropDuplicates(["doc"])
-        named = named.join(twice.select("_doc", "least"), "_doc", "left")
+        own = twice.select(F.col(n_own).alias("doc"), F.col(n_least).alias("least"))
+        texts = texts.join(own, "doc", "left").where(F.col("least").isNull() | (F.col("least") == F.col("hash"))).dropDuplicates(["doc"])
+        named = named.join(twice, F.col(n_doc) == F.col(n_own), "left").drop(n_own)
     else:
-        named = named.withColumn("least", F.lit(None).cast("long"))
+        named = named.withColumn(n_least, F.lit(None).cast("long"))
     texts = texts.select("doc", "text").where(F.octet_length("text") >= width)
-    cuts = intervals(repeats(texts, width), width).select(F.col("doc").alias("_cutdoc"), F.col("cut").alias("_cut"))
-    stands = F.col("least").isNull() | (F.col("least") == F.col("_hash"))
-    return named.join(cuts, F.col("_doc") == F.col("_cutdoc"), "left").withColumn("_cut", F.when(stands, F.col("_cut"))).select(*docs.columns, "_cut")
+    cuts = intervals(repeats(texts, width), width).select(F.col("doc").alias(n_own), F.col("cut").alias(n_cut))
+    stands = F.col(n_least).isNull() | (F.col(n_least) == F.col(n_hash))
+    return named.join(cuts, F.col(n_doc) == F.col(n_own), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.when(stands, F.col(n_cut)).alias(n_cut))
+
+
+def _numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """docs with a long in the ids' order: the id itself if it is an integer, else its number among the sorted distinct ids."""
+    least = F.lit(-(1 << 63))
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        return docs.withColumn(name, F.coalesce(F.col(f"`{id_col}`").cast("long"), least))
+    key = f"{name}_id"
+    ordered = docs.select(F.col(f"`{id_col}`").alias(key)).where(F.col(key).isNotNull()).distinct().orderBy(key).withColumn(name, F.monotonically_increasing_id())
+    return docs.join(staged(ordered, "numbered"), F.col(f"`{id_col}`") == F.col(key), "left").drop(key).withColumn(name, F.coalesce(F.col(name), least))
 
 
 def kept_bytes(data: bytes, cut: list[dict] | None) -> tuple[bytes, int, int]:

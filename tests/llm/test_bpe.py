@@ -83,3 +83,15 @@ def test_clashing_name_and_empty_table(spark, odd, empty):
     assert dict(out.dtypes)["ids"] == "array<int>"
     assert B.encode(empty, PATH, PATTERN).collect() == []
     assert B.digests(empty, PATH, PATTERN).collect() == []
+
+
+def test_states_are_let_go_within_one_piece(monkeypatch):
+    """A piece longer than the store of states is encoded alike."""
+    path, pattern = B.public_vocabulary()
+    ranks = B.load_ranks(path)
+    r = random.Random(5)
+    piece = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    want = list(B.Bpe(ranks, pattern).piece(piece))
+    monkeypatch.setattr(B, "MAX_STATES", 40)
+    small = B.Bpe(ranks, pattern)
+    assert list(small.piece(piece)) == want and len(small.states) <= 42

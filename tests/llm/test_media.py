@@ -9,6 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm import common
 from quarry.llm import media as M
 
 from .conftest import frame
@@ -79,7 +80,7 @@ def test_store_and_restore(spark, odd, odd_rows, tmp_path):
 
 def test_query_reads_what_is_stored(spark, odd, odd_rows, tmp_path, monkeypatch):
     """With hot chunks dealt out; and bytes that are damaged in the store don't pass."""
-    monkeypatch.setattr(M, "HOT", 2)
+    monkeypatch.setattr(common, "HOT", 2)
     odd.unionByName(frame(spark, near_copies())).write.parquet(f"file://{tmp_path}/documents.parquet")
     got = M.op9_media(spark, f"file://{tmp_path}").collect()
     key = lambda row: tuple((v is not None, v) for v in row)

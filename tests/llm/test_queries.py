@@ -97,7 +97,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs):
     copies = [ids(mixed).count(i) for i in set(ids(mixed))]
     assert max(copies) <= 3
     last = s5(spark, mixed, SF)
-    assert ids(last) == ids(mixed) and all(r.n_tokens == len(r.ids) for r in last.collect())
+    assert ids(last) == ids(mixed) and all(r.n_tokens == len(r.ids) and r.round_trip for r in last.collect())
 
 
 def test_registered_names_are_ten():

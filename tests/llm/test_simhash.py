@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from quarry.llm import common
 from quarry.llm import simhash as M
 
 from .conftest import frame
@@ -35,7 +36,7 @@ def components(prints):
                 root[find(a)] = find(b)
     least = {}
     for i, f in prints:
-        least[find(f)] = min(least.get(find(f), 1 << 60), i)
+        least[find(f)] = min(least.get(find(f), i), i)
     return {f: least[find(f)] for f in fps}
 
 
@@ -98,3 +99,14 @@ def test_odd_rows_and_keep_one(spark, odd, odd_rows):
 def test_empty_table(spark, empty):
     assert M.near_duplicates(empty).collect() == []
     assert M.keep_one(empty).collect() == []
+
+
+def test_string_ids_clashing_columns_and_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = [(f"d{k:02d}", "the same words here again and again" if k % 3 else f"other text number {k} with words of its own", 1, 2, 3) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _stays int, __stays int, fp int").repartition(4)
+    want = components([(i, fingerprint(t)) for i, t, *_ in rows])
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()}
+    assert got == {i: want[fingerprint(t)] for i, t, *_ in rows}
+    out = M.keep_one(df)
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == set(got.values())

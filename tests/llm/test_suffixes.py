@@ -57,6 +57,29 @@ def test_salted_anchors_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in S.digests(df).collect()} == brute(docs)
 
 
+@pytest.mark.parametrize("kept", [2, 1 << 17])
+def test_batches_settle_across_each_other(spark, kept, monkeypatch):
+    """Passages in every document, batches of four, in an order that isn't that of the ids; string ids; columns with the names used inside."""
+    r = random.Random(13)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = [say(300) for _ in range(4)]
+    docs = {f"id{k:03d}": say(60) + shared[k % 4] + say(60) + shared[k * 7 % 4][:180] for k in range(60)}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    monkeypatch.setattr(S, "KEPT", kept)
+    rows = list(docs.items())
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id string, text string, _doc int, _hash int, least int, __cut int").coalesce(1)
+    got = {x.doc_id: tuple(x)[1:] for x in S.digests(df).collect()}
+    out = S.dedup(df)
+    left = {x.doc_id: x.text for x in out.collect()}
+    spark.conf.set(key, before)
+    want = brute(docs)
+    assert got == want and out.columns == df.columns
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in left.items()} == {i: w[3] for i, w in want.items()}
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     r = random.Random(9)
     block = "".join(r.choice("abcd") for _ in range(3000))
