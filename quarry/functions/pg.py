@@ -6,10 +6,22 @@ session's functions, by substituting the arguments. The SQL facade maps the plai
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sql.text import closing, split, unquoted
+
+def _match(one: str, whole: str, around: str) -> str:
+    """The groups of a match, or the whole of it where the pattern has none: groups are parentheses that aren't escaped and don't start (?."""
+    n = r"regexp_count(regexp_replace(p, '\\\\\\\\.', ''), '[(](?![?])')"
+    return around.format(f"CASE WHEN {n} > 0 THEN transform(sequence(1, greatest({n}, 1)), k -> {one}) ELSE array({whole}) END")
+
+
 #: name -> (parameters with types and defaults, result type, expression over :parameters)
 FUNCTIONS: dict[str, tuple[str, str, str]] = {
     # text
@@ -21,7 +33,14 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "initcap": ("s STRING", "STRING", r"aggregate(split(s, ''), '', (a, c) -> concat(a, CASE WHEN a = '' OR NOT right(a, 1) RLIKE '[\\p{L}\\p{N}]' THEN upper(c) ELSE c END))"),
     "split_part": ("s STRING, d STRING, n INT", "STRING", "CASE WHEN n < 1 THEN '' ELSE split_part(s, d, n) END"),
     "starts_with": ("s STRING, t STRING", "BOOLEAN", "startswith(s, t)"),
-    "regexp_match": ("s STRING, p STRING", "ARRAY<STRING>", "CASE WHEN s RLIKE p THEN array(regexp_extract(s, concat('(', p, ')'), 1)) END"),
+    "regexp_match": ("s STRING, p STRING", "ARRAY<STRING>", _match("regexp_extract(s, p, k)", "regexp_extract(s, concat('(', p, ')'), 1)", "CASE WHEN s RLIKE p THEN {} END")),
+    "regexp_matches": (
+        "s STRING, p STRING, flags STRING DEFAULT ''",
+        "ARRAY<ARRAY<STRING>>",
+        "CASE WHEN s RLIKE concat(CASE WHEN contains(flags, 'i') THEN '(?i)' ELSE '' END, p) THEN transform(CASE WHEN contains(flags, 'g') THEN regexp_extract_all(s, concat(CASE WHEN contains(flags, 'i') THEN '(?i)' ELSE '' END, '(', p, ')'), 1) ELSE array(regexp_extract(s, concat(CASE WHEN contains(flags, 'i') THEN '(?i)' ELSE '' END, '(', p, ')'), 1)) END, w -> "
+        + _match("regexp_extract(w, concat(CASE WHEN contains(flags, 'i') THEN '(?i)' ELSE '' END, p), k)", "w", "{}")
+        + ") WHEN s IS NOT NULL AND p IS NOT NULL AND contains(flags, 'g') THEN CAST(array() AS ARRAY<ARRAY<STRING>>) END",
+    ),
     "regexp_replace": ("s STRING, p STRING, r STRING, flags STRING DEFAULT ''", "STRING", "CASE WHEN contains(flags, 'g') THEN regexp_replace(s, concat(CASE WHEN contains(flags, 'i') THEN '(?i)' ELSE '' END, p), r) ELSE regexp_replace(s, concat(CASE WHEN contains(flags, 'i') THEN '(?is)' ELSE '(?s)' END, '^(.*?)(?:', p, ')(.*)$'), concat('$1', r, '$2')) END"),
     "regexp_split_to_array": ("s STRING, p STRING", "ARRAY<STRING>", "split(s, p)"),
     "regexp_count": ("s STRING, p STRING", "INT", "coalesce(regexp_count(s, p), 0)"),
@@ -32,8 +51,8 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "quote_nullable": ("s STRING", "STRING", "CASE WHEN s IS NULL THEN 'NULL' ELSE concat(\"'\", replace(s, \"'\", \"''\"), \"'\") END"),
     "to_hex": ("n BIGINT", "STRING", "lower(hex(CASE WHEN n < 0 THEN n & 4294967295 ELSE n END))"),
     "to_ascii": ("s STRING", "STRING", r"regexp_replace(s, '[^\\x00-\\x7F]', '?')"),
-    "encode": ("s STRING, f STRING", "STRING", "base64(cast(s AS BINARY))"),
-    "decode": ("s STRING, f STRING", "STRING", "cast(unbase64(s) AS STRING)"),
+    "encode": ("s STRING, f STRING", "STRING", "CASE lower(f) WHEN 'base64' THEN base64(cast(s AS BINARY)) WHEN 'hex' THEN lower(hex(cast(s AS BINARY))) WHEN 'escape' THEN s ELSE raise_error(concat('encode: no format ', f)) END"),
+    "decode": ("s STRING, f STRING", "STRING", "CASE lower(f) WHEN 'base64' THEN cast(unbase64(s) AS STRING) WHEN 'hex' THEN cast(unhex(s) AS STRING) WHEN 'escape' THEN s ELSE raise_error(concat('decode: no format ', f)) END"),
     "hashtext": ("s STRING", "BIGINT", "aggregate(transform(split(s, ''), c -> ascii(c)), CAST(2166136261 AS BIGINT), (h, c) -> ((h ^ c) * 16777619) & 4294967295)"),
     # numbers
     "round": ("x DOUBLE, n INT DEFAULT 0", "DOUBLE", "floor(x * pow(10, n) + 0.5) / pow(10, n)"),
@@ -57,23 +76,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "dow": ("t TIMESTAMP", "INT", "dayofweek(t) - 1"),
     "to_number": ("s STRING, f STRING DEFAULT ''", "DOUBLE", "cast(regexp_replace(s, '[^0-9.+-]', '') AS DOUBLE)"),
     "to_char": ("t TIMESTAMP, f STRING", "STRING", "date_format(t, replace(replace(replace(replace(replace(replace(f, 'YYYY', 'yyyy'), 'DD', 'dd'), 'HH24', 'HH'), 'MI', 'mm'), 'SS', 'ss'), 'MON', 'MMM'))"),
-    # arrays
-    "array_length": ("a ARRAY<STRING>, k INT DEFAULT 1", "INT", "nullif(array_size(a), -1)"),
-    "array_upper": ("a ARRAY<STRING>, k INT DEFAULT 1", "INT", "nullif(array_size(a), 0)"),
-    "array_lower": ("a ARRAY<STRING>, k INT DEFAULT 1", "INT", "CASE WHEN array_size(a) > 0 THEN 1 END"),
-    "array_dims": ("a ARRAY<STRING>", "STRING", "CASE WHEN array_size(a) > 0 THEN concat('[1:', array_size(a), ']') END"),
-    "array_position": ("a ARRAY<STRING>, x STRING", "BIGINT", "nullif(array_position(a, x), 0)"),
-    "array_positions": ("a ARRAY<STRING>, x STRING", "ARRAY<INT>", "filter(transform(a, (y, k) -> CASE WHEN y <=> x THEN k + 1 END), k -> k IS NOT NULL)"),
-    "array_replace": ("a ARRAY<STRING>, x STRING, y STRING", "ARRAY<STRING>", "transform(a, z -> CASE WHEN z <=> x THEN y ELSE z END)"),
-    "array_remove": ("a ARRAY<STRING>, x STRING", "ARRAY<STRING>", "filter(a, z -> NOT z <=> x)"),
-    "array_cat": ("a ARRAY<STRING>, b ARRAY<STRING>", "ARRAY<STRING>", "concat(a, b)"),
-    "array_append": ("a ARRAY<STRING>, x STRING", "ARRAY<STRING>", "array_append(a, x)"),
-    "array_prepend": ("x STRING, a ARRAY<STRING>", "ARRAY<STRING>", "array_prepend(a, x)"),
-    "array_fill": ("x STRING, n INT", "ARRAY<STRING>", "array_repeat(x, n)"),
-    "generate_subscripts": ("a ARRAY<STRING>, k INT DEFAULT 1", "ARRAY<INT>", "CASE WHEN array_size(a) > 0 THEN sequence(1, array_size(a)) ELSE array() END"),
     # JSON text
-    "json_extract_path": ("j STRING, k STRING", "STRING", "get_json_object(j, concat('$.', k))"),
-    "json_extract_path_text": ("j STRING, k STRING", "STRING", "get_json_object(j, concat('$.', k))"),
     "json_typeof": ("j STRING", "STRING", "CASE WHEN j IS NULL OR trim(j) = 'null' THEN 'null' WHEN j RLIKE '^\\\\s*[{]' THEN 'object' WHEN j RLIKE '^\\\\s*[\\\\[]' THEN 'array' WHEN j RLIKE '^\\\\s*\"' THEN 'string' WHEN trim(j) IN ('true', 'false') THEN 'boolean' ELSE 'number' END"),
     "json_each": ("j STRING", "ARRAY<STRUCT<key: STRING, value: STRING>>", "map_entries(from_json(j, 'map<string,string>'))"),
     "json_array_elements": ("j STRING", "ARRAY<STRING>", "from_json(j, 'array<string>')"),
@@ -86,13 +89,155 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "st_dwithin": ("ax DOUBLE, ay DOUBLE, bx DOUBLE, by_ DOUBLE, m DOUBLE", "BOOLEAN", "2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(by_ - ay) / 2), 2) + cos(radians(ay)) * cos(radians(by_)) * pow(sin(radians(bx - ax) / 2), 2)))) <= m"),
     "gen_random_uuid": ("", "STRING", "uuid()"),
     "has_table_privilege": ("t STRING, p STRING", "BOOLEAN", "true"),
+    "has_schema_privilege": ("t STRING, p STRING", "BOOLEAN", "true"),
+    "has_column_privilege": ("t STRING, c STRING, p STRING", "BOOLEAN", "true"),
     "txid_current": ("", "BIGINT", "CAST(1 AS BIGINT)"),
 }
 
 
+#: Functions of any type: name -> SQL over the texts of the arguments. They are expanded where they are called.
+MACROS: dict[str, Callable[..., str]] = {
+    "array_length": lambda a, k="1": f"CASE WHEN size({a}) > 0 THEN size({a}) END",
+    "array_upper": lambda a, k="1": f"CASE WHEN size({a}) > 0 THEN size({a}) END",
+    "array_lower": lambda a, k="1": f"CASE WHEN size({a}) > 0 THEN 1 END",
+    "array_dims": lambda a: f"CASE WHEN size({a}) > 0 THEN concat('[1:', size({a}), ']') END",
+    "array_position": lambda a, x: f"nullif(array_position({a}, {x}), 0)",
+    "array_positions": lambda a, x: f"filter(transform({a}, (y, k) -> CASE WHEN y <=> {x} THEN k + 1 END), k -> k IS NOT NULL)",
+    "array_replace": lambda a, x, y: f"transform({a}, z -> CASE WHEN z <=> {x} THEN {y} ELSE z END)",
+    "array_remove": lambda a, x: f"filter({a}, z -> NOT z <=> {x})",
+    "array_cat": lambda a, b: f"concat({a}, {b})",
+    "array_append": lambda a, x: f"array_append({a}, {x})",
+    "array_prepend": lambda x, a: f"array_prepend({a}, {x})",
+    "array_fill": lambda x, n: f"array_repeat({x}, {n})",
+    "generate_subscripts": lambda a, k="1": f"CASE WHEN size({a}) > 0 THEN sequence(1, size({a})) ELSE CAST(array() AS ARRAY<INT>) END",
+    "json_extract_path": lambda j, *k: f"get_json_object({j}, concat('$', {', '.join(_step(x) for x in k)}))",
+    "typeof": lambda x: f"CASE WHEN ({x}) IS NULL THEN 'null' WHEN typeof({x}) IN ('tinyint', 'smallint', 'int', 'bigint') THEN 'integer' WHEN typeof({x}) IN ('float', 'double') OR startswith(typeof({x}), 'decimal') THEN 'real' WHEN typeof({x}) = 'string' THEN 'text' WHEN typeof({x}) = 'boolean' THEN 'boolean' ELSE 'unknown' END",
+    "date_subtract": lambda u, n, t: f"pg_date_add({u}, -({n}), {t})",
+    "row_to_json": lambda x: f"to_json({x})",
+    "to_jsonb": lambda x: f"to_json({x})",
+    "json_build_array": lambda *a: f"to_json(array({', '.join(a)}))",
+    "json_build_object": lambda *a: f"to_json(named_struct({', '.join(a)}))",
+    "random": lambda: "rand()",
+    "statement_timestamp": lambda: "current_timestamp()",
+    "timeofday": lambda: "date_format(current_timestamp(), 'EEE MMM dd HH:mm:ss yyyy')",
+    "current_schema": lambda: "'public'",
+    "current_schemas": lambda x="true": "array('public')",
+    "current_database": lambda: "'quarry'",
+    "session_user": lambda: "current_user()",
+    "version": lambda: "concat('quarry on Spark ', version())",
+    "st_within": lambda ax, ay, bx, by, m: f"pg_st_dwithin({ax}, {ay}, {bx}, {by}, {m})",
+}
+MACROS |= {
+    "jsonb_extract_path": MACROS["json_extract_path"],
+    "json_extract_path_text": MACROS["json_extract_path"],
+    "jsonb_extract_path_text": MACROS["json_extract_path"],
+    "pg_typeof": MACROS["typeof"],
+    "datesub": MACROS["date_subtract"],
+    "jsonb_build_array": MACROS["json_build_array"],
+    "jsonb_build_object": MACROS["json_build_object"],
+    "transaction_timestamp": MACROS["statement_timestamp"],
+    "clock_timestamp": MACROS["statement_timestamp"],
+    "now": MACROS["statement_timestamp"],
+}
+
+
+def _step(key: str) -> str:
+    """One step of a JSON path: an index if it is digits, else a name."""
+    return f"CASE WHEN {key} RLIKE '^[0-9]+$' THEN concat('[', {key}, ']') ELSE concat('[\\'', {key}, '\\']') END"
+
+
+def expand(text: str, prefix: str = "pg_") -> str:
+    """text with its calls of MACROS, named with the prefix, written out; arguments first."""
+    plain, at = unquoted(text), 0
+    for m in re.finditer(r"(?<![\w.])([A-Za-z_]\w*)\s*\(", plain):
+        name = m[1].lower()
+        if m.start() < at or not name.startswith(prefix) or name[len(prefix) :] not in MACROS:
+            continue
+        end = closing(text, m.end() - 1)
+        args = [expand(a, prefix) for a in split(text[m.end() : end - 1])]
+        return text[: m.start()] + MACROS[name[len(prefix) :]](*args) + expand(text[end:], prefix)
+    return text
+
+
+# --- JSON by paths: the built-ins change no value inside, so these parse in Arrow batches ------------------------------------------
+
+
+def _path(text: str) -> list[str]:
+    return [k.strip() for k in text.strip().removeprefix("{").removesuffix("}").split(",")]
+
+
+def _at(node, key: str):
+    if isinstance(node, list):
+        k = int(key) if key.lstrip("-").isdigit() else len(node)
+        return node[k] if -len(node) <= k < len(node) else None
+    return node.get(key) if isinstance(node, dict) else None
+
+
+def json_set_path(doc: str | None, path: str, value: str | None) -> str | None:
+    """The value at a path {a,b} replaced or added; a missing parent leaves all as it is."""
+    if doc is None or path is None:
+        return None
+    root, keys = json.loads(doc), _path(path)
+    node = root
+    for k in keys[:-1]:
+        node = _at(node, k)
+    new = None if value is None else json.loads(value)
+    if isinstance(node, dict):
+        node[keys[-1]] = new
+    elif isinstance(node, list) and keys[-1].isdigit() and int(keys[-1]) <= len(node):
+        node[int(keys[-1]) : int(keys[-1]) + 1] = [new]
+    return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
+
+
+def json_delete_path(doc: str | None, path: str) -> str | None:
+    if doc is None or path is None:
+        return None
+    root, keys = json.loads(doc), _path(path)
+    node = root
+    for k in keys[:-1]:
+        node = _at(node, k)
+    if isinstance(node, dict):
+        node.pop(keys[-1], None)
+    elif isinstance(node, list) and keys[-1].isdigit() and int(keys[-1]) < len(node):
+        del node[int(keys[-1])]
+    return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
+
+
+def json_contains(a: str | None, b: str | None) -> bool | None:
+    """a @> b: every part of b is in a."""
+    if a is None or b is None:
+        return None
+    return _holds(json.loads(a), json.loads(b))
+
+
+def _holds(a, b) -> bool:
+    if isinstance(a, dict) and isinstance(b, dict):
+        return all(k in a and _holds(a[k], v) for k, v in b.items())
+    if isinstance(a, list):
+        return all(any(_holds(x, y) for x in a) for y in (b if isinstance(b, list) else [b]))
+    return type(a) is type(b) and a == b or isinstance(a, int | float) and isinstance(b, int | float) and not isinstance(a, bool) and not isinstance(b, bool) and a == b
+
+
+def json_pretty(doc: str | None) -> str | None:
+    return None if doc is None else json.dumps(json.loads(doc), indent=2, ensure_ascii=False)
+
+
+def _batched(fn: Callable, kind: str):
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([fn(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    run.__annotations__ = {}
+    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)
+
+
+PATHS = {"jsonb_set": (json_set_path, "string", 3), "jsonb_insert": (json_set_path, "string", 3), "jsonb_delete_path": (json_delete_path, "string", 2), "jsonb_contains": (json_contains, "boolean", 2), "jsonb_pretty": (json_pretty, "string", 1)}
+
+
 def register(spark: SparkSession) -> None:
     for name, (params, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION pg_{name}({params}) RETURNS {kind} RETURN {body}")
+    for name, (fn, kind, _) in PATHS.items():
+        spark.udf.register(f"pg_{name}", _batched(fn, kind))
 
 
 def call(name: str, *args: Column | str) -> Column:
@@ -101,6 +246,6 @@ def call(name: str, *args: Column | str) -> Column:
 
 
 def names() -> set[str]:
-    return set(FUNCTIONS)
+    return set(FUNCTIONS) | set(PATHS)
 
 

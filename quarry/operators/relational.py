@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .lineage import settle
+
 
 def keys(*names: str) -> list[Column]:
     """Sort keys ``"a"``, ``"a desc"``, ``"a desc nulls last"``; nulls last by default when ascending and first when descending."""
@@ -133,14 +135,19 @@ def values(spark: SparkSession, rows: Iterable[Sequence], types: Sequence[str])
     return spark.createDataFrame(rows, ", ".join(f"column{k} {t}" for k, t in enumerate(types, 1)))
 
 
-def upsert(target: DataFrame, new: DataFrame, on: Sequence[str], update: dict[str, Column] | None) -> DataFrame:
-    """INSERT .. ON CONFLICT (on): keep the old row (update None) or set columns from ``old.x`` and ``new.x`` expressions."""
+def upsert(target: DataFrame, new: DataFrame, on: Sequence[str], update: dict[str, Column] | None, order: Sequence[str] = ()) -> DataFrame:
+    """INSERT .. ON CONFLICT (on): keep the old row (update None) or set columns from ``old.x`` and ``new.x`` expressions.
+
+    Of several new rows with one key the first in the given order counts, ties by all columns.
+    """
+    at = W.partitionBy(*on).orderBy(*order, F.to_json(F.struct(*new.columns)))
+    new = new.withColumn("__k", F.row_number().over(at)).where("__k = 1").drop("__k")
     o, n = target.alias("old"), new.alias("new")
     hit = [F.col(f"old.{c}") == F.col(f"new.{c}") for c in on]
     fresh = n.join(o, hit, "left_anti").select([F.col(f"new.{c}") for c in target.columns])
     if update is None:
         return target.unionByName(fresh)
-    one = new.dropDuplicates(list(on)).withColumn("_hit", F.lit(True)).alias("new")
+    one = new.withColumn("_hit", F.lit(True)).alias("new")
     joined = o.join(one, hit, "left")
     kept = joined.select([F.when(F.col("new._hit"), update[c]).otherwise(F.col(f"old.{c}")).alias(c) if c in update else F.col(f"old.{c}") for c in target.columns])
     return kept.unionByName(fresh)
@@ -148,9 +155,9 @@ def upsert(target: DataFrame, new: DataFrame, on: Sequence[str], update: dict[st
 
 def update_from(target: DataFrame, source: DataFrame, on: Column, sets: dict[str, Column], order: Sequence[str] = ()) -> DataFrame:
     """UPDATE .. FROM: target aliased ``t``, source ``s``; of several matching source rows the first in order wins."""
-    t = target.withColumn("_row", F.monotonically_increasing_id()).alias("t")
+    t = settle(target.withColumn("_row", F.monotonically_increasing_id())).alias("t")  # numbers must not change between its two uses
     hit = t.join(source.alias("s"), on).select("t._row", *[v.alias(f"_set_{c}") for c, v in sets.items()], *[F.expr(f"s.{k}").alias(f"_o{i}") for i, k in enumerate(order)])
-    w = W.partitionBy("_row").orderBy(*[f"_o{i}" for i in range(len(order))] or [F.lit(0)])
+    w = W.partitionBy("_row").orderBy(*[f"_o{i}" for i in range(len(order))], F.to_json(F.struct(*[f"_set_{c}" for c in sets])))
     first = hit.withColumn("_k", F.row_number().over(w)).where("_k = 1").withColumn("_hit", F.lit(True))
     out = t.join(first, "_row", "left")
     return out.select([F.when(F.col("_hit"), F.col(f"_set_{c}")).otherwise(F.col(f"t.{c}")).alias(c) if c in sets else F.col(f"t.{c}").alias(c) for c in target.columns])

@@ -17,7 +17,7 @@ def _table(name: str, table: str, key: str, exprs: dict[str, tuple[str, str]], w
     @query(name, sql)
     def run(spark, d):
         pg.register(spark)
-        return getattr(Tables(spark, d), table).where(where).select(key, *[F.expr(s).alias(c) for c, (s, _) in exprs.items()])
+        return getattr(Tables(spark, d), table).where(where).select(key, *[F.expr(pg.expand(s)).alias(c) for c, (s, _) in exprs.items()])
 
 
 _same = lambda *names: {n: (e, e) for n, e in names}
@@ -42,6 +42,12 @@ _table(
         "rr1": ("pg_regexp_replace(p_name, '[aeiou]', '_')", "regexp_replace(p_name, '[aeiou]', '_')"),
         "rrg": ("pg_regexp_replace(p_name, '[aeiou]', '_', 'g')", "regexp_replace(p_name, '[aeiou]', '_', 'g')"),
         "rm": ("pg_regexp_match(p_brand, '[0-9]+')", "CASE WHEN regexp_matches(p_brand, '[0-9]+') THEN [regexp_extract(p_brand, '[0-9]+')] END"),
+        "rm2": ("pg_regexp_match(p_brand, '([A-Z])[a-z]+#([0-9])')", "[regexp_extract(p_brand, '([A-Z])[a-z]+#([0-9])', 1), regexp_extract(p_brand, '([A-Z])[a-z]+#([0-9])', 2)]"),
+        "rmg": ("pg_regexp_matches(p_name, '[aeiou]', 'g')", "list_transform(regexp_extract_all(p_name, '[aeiou]'), lambda x: [x])"),
+        "hex": ("pg_encode(p_brand, 'hex')", "lower(hex(p_brand::BLOB))"),
+        "unhex": ("pg_decode(pg_encode(p_brand, 'hex'), 'hex')", "p_brand"),
+        "ltr": ("ltrim(concat('  ', p_brand))", "ltrim('  ' || p_brand)"),
+        "rtr": ("rtrim(concat(p_brand, '  '))", "rtrim(p_brand || '  ')"),
         "rs": ("pg_regexp_split_to_array(p_type, ' ')", "string_split(p_type, ' ')"),
         "rc": ("pg_regexp_count(p_name, '[aeiou]')", "len(regexp_extract_all(p_name, '[aeiou]'))"),
         "sta": ("pg_string_to_array(p_type, ' ')", "string_split(p_type, ' ')"),
@@ -119,6 +125,9 @@ _table(
         "app": ("pg_array_prepend(p_brand, array('a'))", "[p_brand, 'a']"),
         "af": ("pg_array_fill(p_brand, 2)", "[p_brand, p_brand]"),
         "gs": ("sequence(1, p_size % 4 + 1)", "range(1, p_size % 4 + 2)"),
+        "iap": ("pg_array_append(array(1), p_size)", "[1, p_size]"),
+        "ipos": ("pg_array_positions(array(p_size, 1, p_size), p_size)", "CASE WHEN p_size = 1 THEN [1, 2, 3] ELSE [1, 3] END"),
+        "irep": ("pg_array_replace(array(p_size, 1), 1, 9)", "CASE WHEN p_size = 1 THEN [9, 9] ELSE [p_size, 9] END"),
         "gsub": ("pg_generate_subscripts(array('a', 'b'))", "[1, 2]"),
         "card": ("cardinality(array(1, 2, 3))", "3"),
         "ovl": ("arrays_overlap(array(p_size), array(1, 2, 3))", "list_has_any([p_size], [1, 2, 3])"),
@@ -131,6 +140,13 @@ _table(
     {
         "k": ("pg_json_extract_path(props, 'k')", "props->>'$.k'"),
         "kt": ("cast(pg_json_extract_path_text(props, 'k') AS INT)", "(props->>'$.k')::INT"),
+        "deep": ("pg_json_extract_path('{\"a\": {\"b\": [5, 6]}}', 'a', 'b', '1')", "'6'"),
+        "setp": ("pg_jsonb_set('{\"a\":{\"b\":1}}', '{a,b}', cast(event_id AS STRING))", "'{\"a\":{\"b\":' || event_id || '}}'"),
+        "delp": ("pg_jsonb_delete_path('{\"a\":{\"b\":1,\"c\":2}}', '{a,b}')", "'{\"a\":{\"c\":2}}'"),
+        "cont": ("pg_jsonb_contains(props, '{}')", "true"),
+        "cont2": ("pg_jsonb_contains('{\"a\":[1,2]}', '{\"a\":[2]}')", "true"),
+        "pret": ("pg_jsonb_pretty('{\"a\":1}')", "'{' || chr(10) || '  \"a\": 1' || chr(10) || '}'"),
+        "rtj": ("pg_row_to_json(named_struct('id', event_id))", "'{\"id\":' || event_id || '}'"),
         "keys": ("json_object_keys(props)", "json_keys(props)"),
         "ty": ("pg_json_typeof(props)", "lower(json_type(props))"),
         "each": ("pg_json_each(props).key", "json_keys(props)"),
@@ -144,7 +160,33 @@ _table(
         "sn": ("pg_json_strip_nulls('{\"a\":1,\"b\":null}')", "'{\"a\":1}'"),
     },
 )
-_table("functions_hash", "part", "p_partkey", {"qn": ("pg_quote_nullable(CAST(NULL AS STRING))", "'NULL'"), "ta": ("pg_to_ascii(concat(p_brand, 'é'))", "p_brand || '?'"), "priv": ("pg_has_table_privilege('t', 'x')", "true"), "ms": ("pg_min_scale('12.300')", "1"), "js": ("pg_justify_days('3 days')", "'3 days'")})
+_table(
+    "functions_system",
+    "part",
+    "p_partkey",
+    {
+        "ti": ("pg_typeof(p_size)", "'integer'"),
+        "tr": ("pg_typeof(p_retailprice)", "'real'"),
+        "tt": ("pg_typeof(p_name)", "'text'"),
+        "tb": ("pg_typeof(p_size > 3)", "'boolean'"),
+        "tn": ("pg_typeof(CAST(NULL AS INT))", "'null'"),
+        "cs": ("pg_current_schema()", "'public'"),
+        "pr": ("pg_has_schema_privilege('s', 'x') AND pg_has_column_privilege('t', 'c', 'x')", "true"),
+        "tx": ("pg_txid_current()", "1::BIGINT"),
+        "uu": ("length(pg_gen_random_uuid())", "36"),
+        "rn": ("pg_random() BETWEEN 0 AND 1", "true"),
+        "nw": ("pg_statement_timestamp() = pg_transaction_timestamp() AND pg_now() > TIMESTAMP '2020-01-01'", "true"),
+        "tz": ("pg_trim_scale(p_retailprice)", "p_retailprice"),
+        "jh": ("pg_justify_hours('3 hours')", "'3 hours'"),
+        "ji": ("pg_justify_interval('3 hours')", "'3 hours'"),
+        "po": ("pg_position(p_name, 'a')", "strpos(p_name, 'a')"),
+        "dw": ("pg_st_within(0D, 0D, 1D, 1D, 200000D)", "true"),
+        "dn": ("pg_st_dwithin(0D, 0D, 1D, 1D, 100000D)", "false"),
+        "ds": ("pg_date_subtract('day', p_size, TIMESTAMP '2024-03-01 00:00:00')", "TIMESTAMP '2024-03-01 00:00:00' - to_days(p_size)"),
+        "lg": ("ln(p_size)", "ln(p_size)"),
+    },
+)
+_table("functions_hash", "part", "p_partkey", {"h": ("pg_hashtext(p_brand)", "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(p_brand) + 1), lambda i: ascii(p_brand[i])::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT"), "qn": ("pg_quote_nullable(CAST(NULL AS STRING))", "'NULL'"), "ta": ("pg_to_ascii(concat(p_brand, 'é'))", "p_brand || '?'"), "priv": ("pg_has_table_privilege('t', 'x')", "true"), "ms": ("pg_min_scale('12.300')", "1"), "js": ("pg_justify_days('3 days')", "'3 days'")})
 
 
 @query(

@@ -162,7 +162,7 @@ _XY = "((c_custkey * 7) % 360 - 180)::DOUBLE AS x, ((c_custkey * 3) % 180 - 90):
 
 
 @query(
-    "spatial_within",
+    "spatial_within_box",
     f"""WITH p AS (SELECT c_custkey AS doc_id, {_XY} FROM customer), q AS (SELECT doc_id, 2 * 6371000 * asin(sqrt(sin(radians(y - 40) / 2) ** 2 + cos(radians(40)) * cos(radians(y)) * sin(radians(x - 10) / 2) ** 2)) AS m FROM p)
 SELECT doc_id, 1 - m / 2000000.0 AS score FROM q WHERE m <= 2000000""",
 )

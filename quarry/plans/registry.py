@@ -13,6 +13,8 @@ _SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable:
     def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        if name in _QUERIES:
+            raise ValueError(f"query {name} is registered already")
         _QUERIES[name] = fn
         if sql:
             _SQL[name] = sql

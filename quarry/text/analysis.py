@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: English stop words. Fixed values.
+STOP = frozenset(
+    "a an and are as at be but by can could did do does for had has have he her him his how i if in into is it its may me my no nor not of on or our own she should so some such than that the their then there these they this to too us very was we were what when which who whom why will with would you your".split()
+)
 
 
 # --- character filters -------------------------------------------------------------------------------------------------------
@@ -122,13 +125,17 @@ def parse_synonyms(text: str) -> dict[str, list[str]]:
     return out
 
 
-_FOLD = "".join(chr(k) for k in range(0xC0, 0x250) if len(unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore")) == 1)
-_PLAIN = "".join(unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode() for ch in _FOLD)
+def _plain(t: str) -> str:
+    return t if t.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
+
+
+def _folded(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda ts: None if ts is None else [None if t is None else _plain(t) for t in ts])
 
 
 def ascii_fold(c: Column) -> Column:
-    """Latin letters without their marks; letters that have no plain form stay."""
-    return F.transform(c, lambda t: F.translate(t, _FOLD, _PLAIN))
+    """Compatibility decomposition without marks; letters that have no plain form stay. Tokens that are ASCII already stay in the JVM."""
+    return F.when(F.exists(c, lambda t: t.rlike("[^\\x00-\\x7f]")), F.pandas_udf(_folded, "array<string>")(c)).otherwise(c)
 
 
 _VOWEL = re.compile(r"[aeiou]|(?<=[^aeiou])y")
