@@ -38,6 +38,14 @@ def visits(t: Tables) -> core.Graph:
     return core.Graph.of(v, e, "visits")
 
 
+def chain(t: Tables) -> core.Graph:
+    """nation -next-> the nation of the following key, with a weight."""
+    k = F.col("n_nationkey").cast("long")
+    e = t.nation.where("n_nationkey < 24").select(k.alias("src"), (k + 1).alias("dst"), F.lit("next").alias("label"), F.create_map(F.lit("weight"), (k * 0.5 + 1).cast("string")).alias("props"))
+    return core.Graph.of(t.nation.select(k.alias("id"), F.lit("nation").alias("label")), e, "chain")
+
+
+_CHAIN = "k AS (SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT + 1 AS z, n_nationkey * 0.5::DOUBLE + 1 AS w FROM nation WHERE n_nationkey < 24)"
 E = f"""e AS (SELECT n_nationkey + {NATION} AS src, n_regionkey AS dst, 'in' AS label FROM nation UNION ALL SELECT c_custkey + {CUSTOMER}, c_nationkey + {NATION}, 'lives' FROM customer
   UNION ALL SELECT s_suppkey + {SUPPLIER}, s_nationkey + {NATION}, 'based' FROM supplier)"""
 V = f"""v AS (SELECT r_regionkey::BIGINT AS id, 'region' AS label, NULL::DOUBLE AS bal FROM region UNION ALL SELECT n_nationkey + {NATION}, 'nation', NULL FROM nation
@@ -70,14 +78,14 @@ def _(spark, d):
     return paths.rpq(trade(Tables(spark, d)), "in*")
 
 
-@query("graph_rpq_bounded", f"WITH {E} SELECT DISTINCT src AS start_id, dst AS end_id FROM e WHERE label = 'in'")
+@query("graph_rpq_bounded", f"WITH {_CHAIN} SELECT DISTINCT a AS start_id, z AS end_id FROM (SELECT a, z FROM k UNION ALL SELECT x.a, y.z FROM k x JOIN k y ON x.z = y.a)")
 def _(spark, d):
-    return paths.rpq(trade(Tables(spark, d)), "in{1,2}")
+    return paths.rpq(chain(Tables(spark, d)), "next{1,2}")
 
 
-@query("graph_weighted_rpq", f"WITH {E} SELECT b.dst AS doc_id, 2.0::DOUBLE AS score FROM e a JOIN e b ON a.dst = b.src WHERE a.src = {CUSTOMER + 7} AND a.label = 'lives' AND b.label = 'in'")
+@query("graph_weighted_rpq", f"WITH {_CHAIN} SELECT y.z AS doc_id, x.w + y.w AS score FROM k x JOIN k y ON x.z = y.a WHERE x.a = 4")
 def _(spark, d):
-    return paths.weighted_rpq(trade(Tables(spark, d)), "lives/in", CUSTOMER + 7, "weight")
+    return paths.weighted_rpq(chain(Tables(spark, d)), "next/next", 4, "weight")
 
 
 PATTERN = {"c": paths.V("customer", where="cast(try_element_at(props, 'acctbal') AS double) > 9000"), "n": paths.V("nation"), "s": paths.V("supplier", where="cast(try_element_at(props, 'acctbal') AS double) < 0")}
@@ -91,10 +99,10 @@ def _(spark, d):
     return paths.match(trade(Tables(spark, d)), PATTERN, [paths.E("c", "n", "lives"), paths.E("s", "n", "based")]).select(*[F.col(x).cast("long").alias(x) for x in "cns"])
 
 
-@query("graph_match_negated", f"SELECT n_nationkey + {NATION} AS n, n_regionkey AS r FROM nation WHERE n_regionkey <> 1")
+@query("graph_match_negated", f"SELECT n_nationkey + {NATION} AS n, r_regionkey::BIGINT AS r FROM nation, region WHERE n_regionkey <> r_regionkey")
 def _(spark, d):
-    g = trade(Tables(spark, d))
-    return paths.match(g, {"n": paths.V("nation"), "r": paths.V("region", where="id <> 1")}, [paths.E("n", "r", "in")]).select(F.col("n").cast("int").alias("n"), F.col("r").cast("int").alias("r"))
+    """Pairs without an edge between them."""
+    return paths.match(nations(Tables(spark, d)), {"n": paths.V("nation"), "r": paths.V("region")}, [paths.E("n", "r", "in", negated=True)])
 
 
 @query("graph_temporal_traverse", "SELECT user_id AS doc_id, 0.5::DOUBLE AS score FROM events WHERE event_type = 'purchase' AND day(ts) BETWEEN 3 AND 5 GROUP BY user_id UNION ALL SELECT -9, 1.0")
@@ -132,23 +140,55 @@ def _(spark, d):
     return g.union(suppliers).difference(suppliers).vertices.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("graph_versions", f"WITH {E} SELECT label, count(*) AS n FROM e GROUP BY label")
+@query("graph_intersect", f"WITH {V} SELECT label, count(*) AS n FROM v WHERE label IN ('nation', 'customer') GROUP BY label")
+def _(spark, d):
+    g = trade(Tables(spark, d))
+    part = lambda *labels: g.subgraph(g.vertices.where(F.col("label").isin(*labels)))
+    return part("nation", "customer", "region").intersect(part("nation", "customer", "supplier")).vertices.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("graph_versions", f"WITH {V} SELECT 'now' AS at, label, count(*) AS n FROM v WHERE label <> 'region' GROUP BY label UNION ALL SELECT 'now', 'island', 1 UNION ALL SELECT 'before', label, count(*) FROM v GROUP BY label UNION ALL SELECT 'undone', label, count(*) FROM v GROUP BY label")
 def _(spark, d):
-    log = core.Versions(trade(Tables(spark, d)))
-    return log.rollback(0).edges.groupBy("label").agg(F.count("*").alias("n"))
+    """A change that adds a vertex and takes five, its inverse, and a rollback."""
+    g = trade(Tables(spark, d))
+    log = core.Versions(g)
+    island = core.Graph.of(spark.createDataFrame([(99_999_999, "island")], "id long, label string"), spark.createDataFrame([], "src long, dst long, label string")).vertices
+    delta = core.Delta(add_vertices=island, drop_vertices=g.vertices.where("label = 'region'").select("id"))
+    inverse = delta.inverse(g)
+    log.apply(delta)
+    count = lambda graph, at: graph.vertices.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(at).alias("at"), "label", "n")
+    now = count(log.graph, "now")
+    undone = count(inverse.apply(log.graph), "undone")
+    return now.unionAll(undone).unionAll(count(log.rollback(0), "before"))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = [E, V, "g AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e)", "n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v)", "r0 AS MATERIALIZED (SELECT id, 1 / n AS r FROM v, n)"]
+    for k in range(1, rounds + 1):
+        old = f"r{k - 1}"
+        parts.append(f"r{k} AS MATERIALIZED (SELECT v.id, 0.15 / n + 0.85 * (coalesce(s, 0) + loose / n) AS r FROM v LEFT JOIN (SELECT dst AS id, sum(r * w) AS s FROM g JOIN {old} ON src = id GROUP BY dst) i ON i.id = v.id, n, (SELECT sum(r) AS loose FROM {old} WHERE id NOT IN (SELECT src FROM e)))")
+    return f"WITH {', '.join(parts)} SELECT id::BIGINT AS doc_id, r AS score FROM r{rounds}"
+
+
+def _hits_sql(rounds: int) -> str:
+    parts = [E, V, "h0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS h FROM v)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"x{k} AS MATERIALIZED (SELECT dst AS id, sum(h) AS a FROM e JOIN h{k - 1} ON src = id GROUP BY dst), a{k} AS MATERIALIZED (SELECT v.id, coalesce(a / (SELECT sqrt(sum(a * a)) FROM x{k}), 0) AS a FROM v LEFT JOIN x{k} USING (id))")
+        parts.append(f"y{k} AS MATERIALIZED (SELECT src AS id, sum(a) AS h FROM e JOIN a{k} ON dst = id GROUP BY src), h{k} AS MATERIALIZED (SELECT v.id, coalesce(h / (SELECT sqrt(sum(h * h)) FROM y{k}), 0) AS h FROM v LEFT JOIN y{k} USING (id))")
+    return f"WITH {', '.join(parts)} SELECT id::BIGINT AS doc_id, h + a AS score, h AS hub, a AS authority FROM h{rounds} JOIN a{rounds} USING (id)"
 
 
-@query("pagerank")
+@query("pagerank", _pagerank_sql(8))
 def _(spark, d):
-    return core.pagerank(trade(Tables(spark, d)), iterations=8)
+    return core.pagerank(trade(Tables(spark, d)), iterations=8, tolerance=0.0)
 
 
-@query("hits")
+@query("hits", _hits_sql(8))
 def _(spark, d):
-    return core.hits(trade(Tables(spark, d)), iterations=8)
+    return core.hits(trade(Tables(spark, d)), iterations=8, tolerance=0.0)
 
 
-@query("betweenness")
+@query("betweenness", f"SELECT n_regionkey::BIGINT AS doc_id, count(*) * (count(*) - 1) / 2.0::DOUBLE AS score FROM nation GROUP BY n_regionkey UNION ALL SELECT n_nationkey + {NATION}, 0 FROM nation")
 def _(spark, d):
     return core.betweenness(nations(Tables(spark, d)))
 

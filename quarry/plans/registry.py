@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-MODULES = ("relational", "functions", "retrieval", "graph")
+MODULES = ("relational", "functions", "retrieval", "graph", "session", "layers")
 
 
 def _load() -> None:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import stage
 from .analysis import ANALYZERS, Analyzer
 
 K1, B = 1.2, 0.75
@@ -31,6 +32,8 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     analyzers: dict[str, Analyzer]
+    #: (field, doc_id, tokens) of an index that isn't written: a query counts its terms in one pass over these.
+    tokens: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, fields: dict[str, str | Analyzer] | list[str], doc_id: str = "doc_id") -> Index:
@@ -43,7 +46,7 @@ class Index:
             rows = rows.unionAll(p)
         lengths = rows.select("field", "doc_id", F.size("tokens").alias("len"))
         postings = rows.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term")).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        return cls(postings, lengths, analyzers)
+        return cls(postings, lengths, analyzers, rows)
 
     def save(self, path: str) -> None:
         """Sorted by term inside each field's folder, so a query's terms prune row groups."""
@@ -67,16 +70,33 @@ class Index:
         """(doc_id, term, tf, len, w): a row a posting of the query's terms, with its BM25 weight; a term given twice counts twice."""
         terms = self.terms(field, query)
         times = {t: float(terms.count(t)) for t in terms}
+        if self.tokens is not None:
+            hit, df, _, stats = self._counted(field, sorted(times))
+            rows = hit.join(df, "term").crossJoin(F.broadcast(stats))
+            return self._weighed(rows, times, k1, b), terms
         hit = self.postings.where((F.col("field") == field) & F.col("term").isin(sorted(times) or [""]))
         df = F.broadcast(hit.groupBy("term").agg(F.count("*").alias("df")))  # a row a query term
         rows = hit.join(df, "term").join(self.lengths.where(F.col("field") == field).select("doc_id", "len"), "doc_id").crossJoin(F.broadcast(self.stats(field)))
+        return self._weighed(rows, times, k1, b), terms
+
+    def _counted(self, field: str, terms: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(hits, df, lengths, stats) from one pass over the texts: each document's length and counts of the terms are staged, nothing else."""
+        wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+        count = F.transform(wanted, lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("long"))
+        own = stage(self.tokens.where(F.col("field") == field).select("doc_id", F.size("tokens").alias("len"), count.alias("tfs")), "counted")
+        hit = own.where(F.exists("tfs", lambda n: n > 0)).select("doc_id", "len", F.posexplode("tfs").alias("k", "tf")).where("tf > 0").withColumn("term", F.element_at(wanted, F.col("k") + 1)).drop("k")
+        df = F.broadcast(hit.groupBy("term").agg(F.count("*").alias("df")))  # a row a query term
+        return hit, df, own.select("doc_id", "len"), own.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl"))
+
+    @staticmethod
+    def _weighed(rows: DataFrame, times: dict[str, float], k1: float, b: float) -> DataFrame:
         idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         norm = k1 * (1 - b + b * F.when(F.col("avgdl") > 0, F.col("len") / F.col("avgdl")).otherwise(1.0))
         boost = F.lit(1.0)
         for t, n in times.items():
             if n != 1:
                 boost = F.when(F.col("term") == t, n).otherwise(boost)
-        return rows.withColumn("w", boost * (idf - idf / (1 + F.col("tf") / norm))), terms
+        return rows.withColumn("w", boost * (idf - idf / (1 + F.col("tf") / norm)))
 
     def match(self, field: str, query: str) -> DataFrame:
         """Documents with any of the terms, score 0."""
