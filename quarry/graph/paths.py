@@ -307,6 +307,14 @@ def numbered(found: DataFrame) -> DataFrame:
     return found.withColumn("doc_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*found.columns)) - 1)
 
 
+def connected(vertices: dict[str, V], edges: list[E]) -> bool:
+    """Whether the pattern's positive edges join all its variables."""
+    reached = {next(iter(vertices))}
+    while more := {x for e in edges if not e.negated and {e.src, e.dst} & reached for x in (e.src, e.dst)} - reached:
+        reached |= more
+    return reached == set(vertices)
+
+
 def incremental(g: Graph, cached: DataFrame, changed: DataFrame, vertices: dict[str, V], edges: list[E]) -> DataFrame:
     """cached matches of an older graph, brought up to g: those that touch changed vertices (id) are found anew, others stay."""
     touches = None
@@ -315,7 +323,9 @@ def incremental(g: Graph, cached: DataFrame, changed: DataFrame, vertices: dict[
         touches = hit if touches is None else touches.unionAll(hit)
     stay = cached.join(touches.distinct(), list(vertices), "left_anti")
     fresh = None
-    now = match(g, vertices, edges)
+    # A new match holds a changed vertex, so the rest of it is within as many hops; a pattern in several parts needs the whole graph.
+    own = g.subgraph(g.bfs(changed, max(1, len(vertices) - 1), direction="both").select("id")) if connected(vertices, edges) else g
+    now = match(own, vertices, edges)
     for name in vertices:
         hit = now.join(changed.select(F.col("id").alias(name)), name, "left_semi").select(*vertices)
         fresh = hit if fresh is None else fresh.unionAll(hit)

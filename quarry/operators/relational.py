@@ -86,21 +86,18 @@ def is_distinct(a: Column, b: Column) -> Column:
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, limit: int = 1000, cut_every: int = 8) -> DataFrame:
     """WITH RECURSIVE by semi-naive rounds: step sees the newest rows only. UNION keeps rows that are new, UNION ALL all of them.
 
-    Lineage is cut by checkpoints every few rounds where a checkpoint folder is set.
+    Each round is settled in the shared folder, and every few rounds so is what has gathered, so plans stay small and nothing is held in memory.
     """
-    newest = seed.distinct() if distinct else seed
-    total, spark = newest, seed.sparkSession
-    has_dir = bool(spark.sparkContext.getCheckpointDir())
+    newest = settle(seed.distinct() if distinct else seed)
+    total = newest
     for k in range(1, limit + 1):
         newest = step(newest).toDF(*seed.columns)
-        if distinct:
-            newest = _minus(newest.distinct(), total)
-        newest = newest.checkpoint() if has_dir and k % cut_every == 0 else newest.persist()
+        newest = settle(_minus(newest.distinct(), total) if distinct else newest)
         if newest.isEmpty():
             return total
         total = total.unionByName(newest)
-        if has_dir and k % cut_every == 0:
-            total = total.checkpoint()
+        if k % cut_every == 0:
+            total = settle(total)
     raise RuntimeError(f"the recursion didn't end in {limit} rounds")
 
 

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..graph import core, paths
 from ..graph import indexes as gi
-from ..graph import paths
 from ..operators import deep
 from ..operators.lineage import shared_dir
 from ..text import topk
@@ -158,6 +158,15 @@ def _(spark, d):
     return held.matches(_SHAPE, _EDGES)
 
 
+@query("graph_incremental_match", f"SELECT s_suppkey + {SUPPLIER} AS s, n_nationkey + {NATION} AS n, n_regionkey::BIGINT AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def _(spark, d):
+    """Matches of a graph that lacked five nations, brought up to date."""
+    g = trade(Tables(spark, d))
+    new = g.vertices.where(F.col("label") == "nation").where(F.col("id") < NATION + 5).select("id")
+    old = core.Delta(drop_vertices=new).apply(g)
+    return paths.incremental(g, paths.match(old, _SHAPE, _EDGES), new, _SHAPE, _EDGES)
+
+
 _SIM = "(x * 1.0 + y * 0.5) / (sqrt(x * x + y * y) * sqrt(1.25))"
 _XY = f"SELECT n_nationkey + {NATION} AS id, ((n_nationkey * 7) % 11)::DOUBLE + 1 AS x, ((n_nationkey * 3) % 5)::DOUBLE + 1 AS y FROM nation"
 
