@@ -22,10 +22,10 @@ def _index(t: Tables) -> ix.Index:
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
-def _bm25_sql(q: str, alias: str = "") -> str:
+def _bm25_sql(q: str, alias: str = "", text: str = "text") -> str:
     """CTEs h (doc_id, term, w, tf, len) and s (doc_id, score) of a query."""
     terms = ", ".join(f"'{w}'" for w in q.split())
-    return f"""t{alias} AS (SELECT doc_id, {_TOK} AS toks FROM documents WHERE text IS NOT NULL), l{alias} AS (SELECT doc_id, len(toks) AS len FROM t{alias}),
+    return f"""t{alias} AS (SELECT doc_id, {_TOK.replace("(text)", f"({text})")} AS toks FROM documents WHERE text IS NOT NULL), l{alias} AS (SELECT doc_id, len(toks) AS len FROM t{alias}),
  st{alias} AS (SELECT count(*) AS n, avg(len) AS avgdl FROM l{alias}), p{alias} AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM t{alias}) WHERE term IN ({terms}) GROUP BY ALL),
  df{alias} AS (SELECT term, count(*) AS df FROM p{alias} GROUP BY term),
  h{alias} AS (SELECT doc_id, term, tf, len, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf, idf - idf / (1 + tf / (1.2 * (0.25 + 0.75 * len / avgdl))) AS w FROM p{alias} JOIN df{alias} USING (term) JOIN l{alias} USING (doc_id), st{alias}),
@@ -72,17 +72,24 @@ def _(spark, d):
     return Tables(spark, d).orders.select("o_orderkey", ix.recency_prior(F.datediff(F.lit("1999-01-01").cast("date"), "o_orderdate")).alias("prior"))
 
 
-@query("multi_field_match")
+_LOGIT = "coalesce(ln({0}.score / (1 - {0}.score)), 0)"
+
+
+@query("multi_field_match", f"WITH {_bm25_sql(Q1)}, {_bm25_sql(Q1, '2', 'split_part(text, chr(10), 1)')} SELECT doc_id, 1 / (1 + exp(-({_LOGIT.format('b')} + 2 * {_LOGIT.format('b2')}) / 3)) AS score FROM b FULL JOIN b2 USING (doc_id)")
 def _(spark, d):
     t = Tables(spark, d)
     docs = t.documents.withColumn("head", F.substring_index("text", "\n", 1))
     return ix.Index.build(docs, {"text": "simple", "head": "simple"}).multi_field(Q1, {"text": 1.0, "head": 2.0})
 
 
-@query("fts_mini_language")
+@query(
+    "fts_mini_language",
+    f"""WITH t AS (SELECT doc_id, coalesce({_TOK}, []) AS k FROM documents)
+    SELECT doc_id FROM t WHERE (contains(' ' || array_to_string(k, ' ') || ' ', ' of the ') OR list_contains(k, 'erin')) AND NOT list_contains(k, 'moron')""",
+)
 def _(spark, d):
     t = Tables(spark, d)
-    return fts.search(_index(t), '("of the" OR erin) AND NOT moron', t.documents.select("doc_id"), "text")
+    return fts.search(_index(t), '("of the" OR erin) AND NOT moron', t.documents.select("doc_id"), "text").select("doc_id")
 
 
 @query("highlight")
@@ -175,7 +182,7 @@ def _(spark, d):
     return vector.bayesian_knn(_vectors(Tables(spark, d)), _VQ, 20)
 
 
-@query("ivf_search")
+@query("ivf_search", f"SELECT doc_id, score FROM {_cos_sql(_VQ)} ORDER BY score DESC, doc_id LIMIT 20")
 def _(spark, d):
     return vector.Ivf(_vectors(Tables(spark, d)), nlist=8, train=2000).search(_VQ, 20, nprobe=8)
 
@@ -239,7 +246,13 @@ query("fuse_attention", _SIG + "SELECT doc_id, 1 / (1 + exp(-(exp(1.0) * l0 + l1
 query("fuse_multihead")(lambda spark, d: fusion.multihead(_signals(Tables(spark, d)), [0.5, 1.0, 0.2], 4))
 query("fuse_adaptive", _SIG + ", n AS (SELECT (SELECT count(*) FROM w) AS u, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb) SELECT doc_id, 1 / (1 + exp(-(l0 + l1) / 2 * pow(2, (0.5 * (0.5 + na / u) + 0.5 * (0.5 + nb / u)) / 2))) AS score FROM l, n")(lambda spark, d: fusion.adaptive(_signals(Tables(spark, d))))
 query("staged_retrieval", _SIG + ", x AS (SELECT * FROM a ORDER BY score DESC, doc_id LIMIT 60), y AS (SELECT x.doc_id, coalesce(b.score, x.score) AS score FROM x LEFT JOIN b ON x.doc_id = b.doc_id) SELECT * FROM y WHERE score >= 0.4")(lambda spark, d: fusion.staged([(_signals(Tables(spark, d))[0], 60), (_signals(Tables(spark, d))[1], 0.4)]))
-query("progressive_fusion")(lambda spark, d: fusion.progressive([([_signals(Tables(spark, d))[0]], 60), ([_signals(Tables(spark, d))[1]], 10)]))
+query(
+    "progressive_fusion",
+    """WITH a AS (SELECT vec_id AS id, (vec_id * 13 % 97 + 1) / 99.0::DOUBLE AS p FROM embeddings WHERE vec_id % 2 = 0 ORDER BY p DESC, id LIMIT 60),
+    w AS (SELECT id, p, CASE WHEN id % 3 = 0 THEN (id * 29 % 89 + 1) / 91.0::DOUBLE END AS q FROM a), r AS (SELECT count(q) / count(*)::DOUBLE AS r FROM w),
+    z AS (SELECT id, p, coalesce(q, 0.5 * (1 - r) + 0.01 * r) AS q FROM w, r)
+    SELECT id AS doc_id, 1 / (1 + exp(-(ln(p / (1 - p)) + ln(q / (1 - q))) / 2 * sqrt(2))) AS score FROM z ORDER BY score DESC, doc_id LIMIT 10""",
+)(lambda spark, d: fusion.progressive([([_signals(Tables(spark, d))[0]], 60), ([_signals(Tables(spark, d))[1]], 10)]))
 
 
 @query("vector_density_prior")
