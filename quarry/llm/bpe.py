@@ -286,20 +286,36 @@ def docs_type(docs: DataFrame, id_col: str) -> pa.DataType:
     return to_arrow_type(docs.schema[id_col].dataType)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with ids, an array of ints, after its other columns."""
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", verified: bool = False) -> DataFrame:
+    """docs with ids, an array of ints, after its other columns.
+
+    Verified, two more follow: ``<out_col>_sha256``, the digest of what the streaming machine decodes from the ids, and ``<out_col>_same``,
+    whether that is the text. Both are made where the ids are, so a worker holds one vocabulary.
+    """
+    more = [f"{out_col}_sha256", f"{out_col}_same"] if verified else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            ids = pa.array([bpe.encode(t.as_py() or "") for t in batch.column(batch.schema.names.index(text_col))], type=pa.list_(pa.int32()))
+            texts = [t.as_py() or "" for t in batch.column(batch.schema.names.index(text_col))]
+            ids = [bpe.encode(t) for t in texts]
             keep = [k for k, n in enumerate(batch.schema.names) if n != out_col]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], names=[*(batch.schema.names[k] for k in keep), out_col])
+            columns = [*(batch.column(k) for k in keep), pa.array(ids, type=pa.list_(pa.int32()))]
+            if verified:
+                said = [_decoded(bpe, i) for i in ids]
+                columns += [pa.array([hashlib.sha256(d.encode("utf-8")).hexdigest() for d in said], pa.string()), pa.array([d == t for d, t in zip(said, texts, strict=True)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[k] for k in keep), out_col, *more])
 
     bounded_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name != out_col]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{ddl}, `{out_col}` array<int>")
+    return docs.mapInArrow(run, f"{ddl}, `{out_col}` array<int>" + (f", `{more[0]}` string, `{more[1]}` boolean" if verified else ""))
+
+
+def _decoded(bpe: Bpe, ids: list[int]) -> str:
+    """The text of ids, a chunk of them at a time."""
+    out = Utf8Stream(bpe.token)
+    return "".join([*(out.feed(ids[k : k + DECODE_CHUNK]) for k in range(0, len(ids), DECODE_CHUNK)), out.finish()])
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -308,13 +324,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            texts = []
-            for ids in batch.column(batch.schema.names.index(ids_col)):
-                out, got = Utf8Stream(bpe.token), []
-                whole = ids.as_py() or []
-                for k in range(0, len(whole), DECODE_CHUNK):
-                    got.append(out.feed(whole[k : k + DECODE_CHUNK]))
-                texts.append("".join(got) + out.finish())
+            texts = [_decoded(bpe, ids.as_py() or []) for ids in batch.column(batch.schema.names.index(ids_col))]
             keep = [k for k, n in enumerate(batch.schema.names) if n != out_col]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, type=pa.string())], names=[*(batch.schema.names[k] for k in keep), out_col])
 

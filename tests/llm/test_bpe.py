@@ -95,3 +95,12 @@ def test_states_are_let_go_within_one_piece(monkeypatch):
     monkeypatch.setattr(B, "MAX_STATES", 40)
     small = B.Bpe(ranks, pattern)
     assert list(small.piece(piece)) == want and len(small.states) <= 42
+
+
+def test_verified_ids_carry_their_round_trip(spark):
+    rows = [(1, "Some words, é and 🙂", 5), (2, None, 5), (3, "", 5), (4, "x" * 9000, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids_other int")
+    out = B.encode(df, *B.public_vocabulary(), verified=True)
+    for r, (_, t, _) in zip(sorted(out.collect(), key=lambda r: r.doc_id), rows, strict=True):
+        assert r.ids_same and r.ids_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert {r.doc_id: r.text for r in B.decode(out.select("doc_id", "ids"), *B.public_vocabulary()).collect()} == {i: t or "" for i, t, _ in rows}
