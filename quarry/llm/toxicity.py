@@ -406,14 +406,15 @@ def fit(examples: list[tuple[int, str]]) -> Model:
     w, hard = np.zeros(folded.shape[1] + 1), np.ones(len(clean), dtype=bool)
     model = Model()
     for _ in range(ROUNDS):
-        if not positives:
+        # Without a negative within the margin the round before has parted the classes, and its machine stays.
+        if not positives or not hard.any():
             break
         pos = np.array([number[v] for v in positives], dtype=np.int64)
         # A document's units share its weight; the classes weigh alike.
         weight1 = np.sqrt(np.array(list(positives.values()), dtype=float))
         own = np.concatenate([pos, clean])
         # Of the negatives, those that the round before left within the margin make up the class's weight; at first all do.
-        wt = np.concatenate([weight1 / weight1.sum(), weight0 / max(weight0[hard].sum(), 1e-9)]) * 400
+        wt = np.concatenate([weight1 / weight1.sum(), weight0 / weight0[hard].sum()]) * 400
         w = _newton(x[own], np.concatenate([np.ones(len(pos)), -np.ones(len(clean))]), wt, 1.0, w)
         model = folded_back(w)
         decided = x @ w[:-1].astype(np.float32) + w[-1]

@@ -148,3 +148,14 @@ def test_slices_carry_windows_over(monkeypatch, spark, labelled):
     monkeypatch.setattr(T, "SLICE", 16)
     monkeypatch.setattr(T, "RUN", 50)
     assert m.summaries([text])[0] == pytest.approx(whole[0])
+
+
+def test_parted_classes_keep_their_machine():
+    """Rounds may leave no clean word within the margin; what the round before has learned stays."""
+    r = random.Random(3)
+    vocab = [word(r) for _ in range(300)]
+    say = lambda: [r.choice(vocab) for _ in range(40)]
+    m = T.fit([(0, " ".join(say())) for _ in range(200)] + [(1, " ".join([*say(), r.choice(VILE)])) for _ in range(80)])
+    said = " ".join(say())
+    assert m.score(said) < 0.3
+    assert all(m.score(f"{said} {w}") > 0.7 for w in VILE)
