@@ -22,6 +22,7 @@ import base64
 import codecs
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -71,6 +72,24 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"\\([sS])", lambda m: f"[{'^' * (m[1] == 'S')}{SPACE}]", spelled))
 
 
+#: The bits of an arc that number its state.
+STATE = (1 << 32) - 1
+
+
+def _packed(members: Iterable[tuple[int, int, tuple[int, ...]]]) -> bytes:
+    """Members as 32-bit numbers: node, last token, number of tokens owed, and these."""
+    return array("i", [x for node, last, owed in members for x in (node, last, len(owed), *owed)]).tobytes()
+
+
+def _members(state: bytes) -> list[tuple[int, int, tuple[int, ...]]]:
+    flat, out, at = memoryview(state).cast("i").tolist(), [], 0
+    while at < len(flat):
+        end = at + 3 + flat[at + 2]
+        out.append((flat[at], flat[at + 1], tuple(flat[at + 3 : end])))
+        at = end
+    return out
+
+
 class Bpe:
     """ranks: token bytes -> id, which is also the merge's rank. pattern: pieces are encoded separately."""
 
@@ -90,16 +109,26 @@ class Bpe:
                 node = nxt
             self.ends[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Whether two tokens follow validly, by first << 32 | second.
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: A state: tuple of (trie node, last token before or -1, tokens owed); the first stands at a token's end.
-        self.states: list[tuple] = [((0, -1, ()),)]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
-        #: state * 256 + byte -> (state, tokens emitted)
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: A state, packed: members (trie node, last token before or -1, tokens owed); the first stands at a token's end.
+        self.states: list[bytes] = [_packed([(0, -1, ())])]
+        self.number: dict[bytes, int] = {self.states[0]: 0}
+        #: state * 256 + byte -> state, and from bit 32 the number of the tokens emitted; no arc leads to state 0
+        self.arcs: dict[int, int] = {}
+        self.rows: list[tuple[int, ...]] = [()]
+        self.row_number: dict[tuple[int, ...], int] = {(): 0}
+
+    def _row(self, tokens: tuple[int, ...]) -> int:
+        """The number of a row of tokens; equal ones are kept once."""
+        if (out := self.row_number.get(tokens)) is None:
+            out = self.row_number[tokens] = len(self.rows)
+            self.rows.append(tokens)
+        return out
 
     def merged(self, data: bytes) -> list[int]:
         """The merges applied by rank; for joins of two tokens and as the definition that the transducer is held against."""
@@ -126,7 +155,7 @@ class Bpe:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges make just a and b of their joined bytes: no merge across the border may come before the merges that build the two there."""
-        key = a, b
+        key = a << 32 | b
         if (out := self.pairs.get(key)) is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
@@ -147,16 +176,16 @@ class Bpe:
             else:
                 return True
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _arc(self, state: int, byte: int) -> int:
         """Determinise one arc: advance all members, find the one token that ends here, emit what all owe in common."""
         trie, ends, pairs = self.trie, self.ends, self.pairs
         members: list = [None]
-        for m in self.states[state]:
+        for m in _members(self.states[state]):
             nxt = trie[m[0]].get(byte)
             if nxt is None:
                 continue
             if members[0] is None and (t := ends[nxt]) >= 0 and self.halve(t):
-                ok = True if (last := m[1]) < 0 else pairs.get((last, t))
+                ok = True if (last := m[1]) < 0 else pairs.get(last << 32 | t)
                 if self.follows(last, t) if ok is None else ok:
                     members[0] = (0, t, (*m[2], t))
             if trie[nxt]:
@@ -169,14 +198,14 @@ class Bpe:
                 common = common[:-1]
         if k := len(common):
             members = [(n, last, owed[k:]) for n, last, owed in members]
-        key = tuple(members)
+        key = _packed(members)
         if len(self.states) > MAX_STATES:  # also within one very long piece
             self._reset()
             state = -1
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        out = to, common
+        out = to | self._row(common) << 32
         if state >= 0:
             self.arcs[state << 8 | byte] = out
         return out
@@ -185,10 +214,11 @@ class Bpe:
         """Tokens of one piece, each as soon as no later byte can change it."""
         state = 0
         for byte in data:
-            state, out = self.arcs.get(state << 8 | byte) or self._arc(state, byte)
-            if out:
-                yield from out
-        yield from self.states[state][0][2]
+            state = self.arcs.get(state << 8 | byte) or self._arc(state, byte)
+            if state > STATE:
+                yield from self.rows[state >> 32]
+                state &= STATE
+        yield from self.rows[self._row(_members(self.states[state])[0][2])]
 
     def piece(self, text: str) -> tuple[int, ...]:
         if (out := self.words.get(text)) is None:

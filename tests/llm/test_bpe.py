@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 
@@ -104,3 +105,15 @@ def test_verified_ids_carry_their_round_trip(spark):
     for r, (_, t, _) in zip(sorted(out.collect(), key=lambda r: r.doc_id), rows, strict=True):
         assert r.ids_same and r.ids_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert {r.doc_id: r.text for r in B.decode(out.select("doc_id", "ids"), *B.public_vocabulary()).collect()} == {i: t or "" for i, t, _ in rows}
+
+
+def test_states_and_arcs_are_packed():
+    """What a worker keeps of the machine: numbers, not tuples of tuples."""
+    bpe = B.Bpe(B.load_ranks(PATH), PATTERN)
+    r = random.Random(6)
+    tracemalloc.start()
+    for _ in range(1500):
+        list(bpe.stream("".join(r.choice("etaoinshrdlu") for _ in range(40)).encode()))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(bpe.states) > 3000 and held / len(bpe.states) < 600
