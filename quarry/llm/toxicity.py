@@ -308,14 +308,14 @@ LOWEST = -1e9
 LOW = -0.5
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, w: np.ndarray) -> np.ndarray:
-    """Squared hinge loss by Newton steps on the active rows, BLOCK rows at a time, from w; the last entry of w is the intercept's."""
+def _newton(x: np.ndarray, own: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, w: np.ndarray) -> np.ndarray:
+    """Squared hinge loss over the own rows of x by Newton steps on the active ones, BLOCK rows at a time, from w; the last entry of w is the intercept's."""
     reg = np.eye(x.shape[1] + 1) * ridge
     reg[-1, -1] = 1e-6
     for _ in range(25):
         square, right = reg.copy(), np.zeros(len(reg))
-        for at in range(0, len(x), BLOCK):
-            xs, ys, ws = x[at : at + BLOCK], y[at : at + BLOCK], weight[at : at + BLOCK]
+        for at in range(0, len(own), BLOCK):
+            xs, ys, ws = x[own[at : at + BLOCK]], y[at : at + BLOCK], weight[at : at + BLOCK]
             active = ys * (xs @ w[:-1].astype(xs.dtype) + w[-1]) < 1
             xa = np.column_stack([xs[active], np.ones(int(active.sum()), dtype=xs.dtype)])
             scaled = xa * ws[active, None].astype(xs.dtype)
@@ -415,7 +415,7 @@ def fit(examples: list[tuple[int, str]]) -> Model:
         own = np.concatenate([pos, clean])
         # Of the negatives, those that the round before left within the margin make up the class's weight; at first all do.
         wt = np.concatenate([weight1 / weight1.sum(), weight0 / weight0[hard].sum()]) * 400
-        w = _newton(x[own], np.concatenate([np.ones(len(pos)), -np.ones(len(clean))]), wt, 1.0, w)
+        w = _newton(x, own, np.concatenate([np.ones(len(pos)), -np.ones(len(clean))]), wt, 1.0, w)
         model = folded_back(w)
         decided = x @ w[:-1].astype(np.float32) + w[-1]
         hard = decided[clean] > -0.5

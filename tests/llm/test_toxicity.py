@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 
 from quarry.llm import toxicity as T
@@ -159,3 +161,16 @@ def test_parted_classes_keep_their_machine():
     said = " ".join(say())
     assert m.score(said) < 0.3
     assert all(m.score(f"{said} {w}") > 0.7 for w in VILE)
+
+
+def test_newton_steps_copy_a_block_at_a_time():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200_000, 32)).astype(np.float32)
+    own = np.arange(len(x) - 1, -1, -1)
+    y, weight = np.where(x[own, 0] > 0.5, 1.0, -1.0), np.full(len(x), 1e-3)
+    tracemalloc.start()
+    w = T._newton(x, own, y, weight, 1.0, np.zeros(33))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes / 2
+    assert (w == T._newton(x[own], np.arange(len(x)), y, weight, 1.0, np.zeros(33))).all()
