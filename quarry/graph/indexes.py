@@ -1,7 +1,7 @@
 """Graph indexes as written tables, and matches that use vectors.
 
 An index is a table laid out by what it is asked for, so that a question reads its own part: labels and properties by partition or sorted
-ranges, neighbourhoods and label paths as their pairs. ``save`` writes to a folder, ``load`` reads it back.
+ranges, neighbourhoods as sorted steps, label paths as their pairs. ``save`` writes to a folder, ``load`` reads it back.
 """
 
 from __future__ import annotations
@@ -49,20 +49,30 @@ class PropertyIndex:
 
 
 class NeighborhoodIndex:
-    """(id, near, depth): vertices within some hops, by rounds of joins; bucketed by neither side, asked by a filter on id."""
+    """What lies within some hops of a vertex. Held are the steps, each once, sorted by where they start: one question walks from its own vertex.
+
+    The pairs of all vertices are quadratic where many share a neighbour, so nothing makes them but ``pairs``.
+    """
 
     def __init__(self, g: Graph, hops: int = 2, labels: str | Sequence[str] | None = None, direction: str = "both"):
-        steps = g.steps(labels, direction).select("at", "to").distinct()
-        front = seen = g.vertices.select("id", F.col("id").alias("near"), F.lit(0).alias("depth"))
+        self.hops, self.ids = hops, g.vertices.select("id")
+        self.steps = stage(g.steps(labels, direction).select("at", "to").distinct().repartitionByRange("at").sortWithinPartitions("at"), "steps")
+
+    def _walk(self, ids: DataFrame, hops: int) -> DataFrame:
+        """(id, near, depth) of the given vertices, by rounds of joins."""
+        front = seen = ids.select("id", F.col("id").alias("near"), F.lit(0).alias("depth"))
         for d in range(1, hops + 1):
-            nxt = front.join(steps, F.col("near") == F.col("at")).select("id", F.col("to").alias("near")).distinct()
+            nxt = front.join(self.steps, F.col("near") == F.col("at")).select("id", F.col("to").alias("near")).distinct()
             front = settle(nxt.join(seen.select("id", "near"), ["id", "near"], "left_anti").withColumn("depth", F.lit(d)))
             seen = seen.unionByName(front)
-        self.df = stage(seen, "near").where("depth > 0")
+        return seen.where("depth > 0")
+
+    def pairs(self) -> DataFrame:
+        """(id, near, depth) of all vertices."""
+        return self._walk(self.ids, self.hops)
 
     def of(self, vertex: int, depth: int | None = None) -> DataFrame:
-        own = self.df.where(F.col("id") == vertex)
-        return (own if depth is None else own.where(F.col("depth") <= depth)).select("near", "depth")
+        return self._walk(self.ids.where(F.col("id") == vertex), self.hops if depth is None else min(depth, self.hops)).select("near", "depth")
 
 
 class PathIndex:

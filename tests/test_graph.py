@@ -6,8 +6,9 @@ import itertools
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.graph import core, paths
+from quarry.graph import core, indexes, paths
 
 EDGES = [(1, 2, "knows"), (1, 3, "knows"), (2, 4, "knows"), (3, 4, "knows"), (4, 5, "likes"), (5, 1, "likes")]
 
@@ -67,3 +68,18 @@ def test_paths_and_patterns(graph):
 
 def test_traversal_scores_fall_with_depth(graph):
     assert scores(graph.traverse(1, "knows", hops=2)) == {1: 1.0, 2: 0.5, 3: 0.5, 4: pytest.approx(1 / 3)}
+
+
+def test_neighborhood_index_holds_each_step_once_and_answers_from_one_vertex(spark, graph):
+    index = indexes.NeighborhoodIndex(graph, 2)
+    near = {a: {d for s, d, _ in EDGES if s == a} | {s for s, d, _ in EDGES if d == a} for a in range(1, 7)}
+    want = {(a, b, 1) for a in near for b in near[a]} | {(a, c, 2) for a in near for b in near[a] for c in near[b] - near[a] - {a}}
+    assert {tuple(r) for r in index.pairs().collect()} == want
+    for a in range(1, 8):
+        assert sorted(map(tuple, index.of(a).collect())) == sorted((n, d) for v, n, d in want if v == a)
+        assert {r.near for r in index.of(a, 1).collect()} == near.get(a, set())
+    # A hub of 30,000: 9 * 10^8 pairs, of which nothing is made.
+    leaves = spark.range(1, 30_001)
+    hub = indexes.NeighborhoodIndex(core.Graph.of(spark.range(30_001), leaves.select("id", F.lit(0).cast("long").alias("dst")).withColumnRenamed("id", "src")), 2)
+    assert hub.steps.count() == 60_000
+    assert {(r.depth, r["count"]) for r in hub.of(7).groupBy("depth").count().collect()} == {(1, 1), (2, 29_999)}
