@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import scored
 
@@ -142,34 +144,68 @@ class Ivf:
 # --- joins ----------------------------------------------------------------------------------------------------------------------------
 
 
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
-    """Pairs with cosine >= threshold, exactly: blocks of both sides meet as matrix products, so each row is sent ``blocks`` times.
+#: Rows a block: the product of two has some four million cells.
+BLOCK = 2048
 
-    Both sides: (doc_id, embedding). Raise blocks with the data so that two blocks fit a worker; pairs below the threshold are never made.
+
+def _product(threshold: float):
+    """Two blocks (doc_id, d, embedding) to the pairs (left_id, right_id, score) with cosine >= threshold."""
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        own = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return np.ascontiguousarray(own.reshape(t.num_rows, -1).T)  # a row a dimension
+
+    def summed(x: np.ndarray, y: np.ndarray, i=slice(None), j=slice(None)) -> np.ndarray:
+        """Dot products in the order of the dimensions, as dot() adds them."""
+        out = 0.0
+        for u, v in zip(x, y, strict=True):
+            out = out + u[i] * v[j]
+        return out
+
+    def pairs(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            x, y = matrix(a), matrix(b)
+            with np.errstate(all="ignore"):
+                n = np.sqrt(np.multiply.outer(summed(x, x), summed(y, y)))
+                # The product only leaves out what is surely below the threshold; pairs are scored by themselves. NaN counts as greatest, as in SQL.
+                i, j = np.nonzero(~((x.T @ y) / n < threshold - 1e-9) & (n != 0))
+                score = summed(x, y, i, j) / n[i, j]
+            keep = (score >= threshold) | np.isnan(score)
+            i, j, score = i[keep], j[keep], score[keep]
+        else:
+            i = j = np.array([], dtype=int)
+            score = np.array([])
+        return pa.table({"left_id": a["doc_id"].take(pa.array(i)), "right_id": b["doc_id"].take(pa.array(j)), "score": score})
+
+    return pairs
+
+
+def _near(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Both sides (doc_id, k, embedding): pairs of equal k with cosine >= threshold, exactly.
+
+    Each k's rows are dealt to blocks of about BLOCK rows, and each two blocks meet as a matrix product in a task, so that a task's memory
+    doesn't depend on the size of a k. The work is that of all pairs; a row is sent once for each block of the other side.
     """
+    whole = F.col("k").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    a, b = (df.select("doc_id", "k", "embedding", F.size("embedding").alias("d")).where(whole & (F.col("d") > 0)) for df in (left, right))
+    counts = [df.groupBy("k", "d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n{s}")) for df, s in ((a, "l"), (b, "r"))]
+    blocks = counts[0].join(counts[1], ["k", "d"])
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        rows = df.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias(own))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows = df.join(blocks, ["k", "d"]).withColumn(f"b{own}", F.pmod(F.xxhash64("doc_id"), F.col(f"n{own}")).cast("int"))
+        rows = rows.withColumn(f"b{other}", F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        return rows.select(*[F.col(c).alias(c) for c in ("k", "d", "bl", "br", "doc_id", "embedding")]).groupBy("k", "d", "bl", "br")  # named anew: both sides may be one table
 
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.array(pdf["embedding"].tolist(), dtype=float).reshape(len(pdf), -1)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.where(n > 0, x / np.where(n > 0, n, 1), np.nan)
+    kind = lambda df: df.schema["doc_id"].dataType
+    schema = StructType([StructField("left_id", kind(left)), StructField("right_id", kind(right)), StructField("score", DoubleType())])
+    return dealt(a, "l", "r").cogroup(dealt(b, "r", "l")).applyInArrow(_product(threshold), schema)
 
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []}).astype({"left_id": "int64", "right_id": "int64", "score": "float64"})
-        s = unit(a) @ unit(b).T
-        i, j = np.nonzero(s >= threshold)
-        return pd.DataFrame({"left_id": a["doc_id"].to_numpy()[i], "right_id": b["doc_id"].to_numpy()[j], "score": s[i, j]})
 
-    a, b = dealt(left, "lb", "rb").groupBy("lb", "rb"), dealt(right, "rb", "lb").groupBy("lb", "rb")
-    return a.cogroup(b).applyInPandas(product, "left_id long, right_id long, score double")
+def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs with cosine >= threshold. Both sides: (doc_id, embedding)."""
+    return _near(*(df.select("doc_id", F.lit(0).alias("k"), "embedding") for df in (left, right)), threshold)
 
 
 def hybrid_join(left: DataFrame, right: DataFrame, field: str, threshold: float) -> DataFrame:
     """Equality on a field, then cosine >= threshold."""
-    a = left.select(F.col("doc_id").alias("left_id"), F.col(field).alias("k"), F.col("embedding").alias("a"))
-    b = right.select(F.col("doc_id").alias("right_id"), F.col(field).alias("k"), F.col("embedding").alias("b"))
-    return a.join(b, "k").select("left_id", "right_id", cosine(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
+    return _near(*(df.select("doc_id", F.col(field).alias("k"), "embedding") for df in (left, right)), threshold)
