@@ -111,6 +111,22 @@ def query_terms(text: str) -> list[str]:
     return out
 
 
+def asked(text: str, names: list[str], field: str = "_all") -> dict[str, list[str]]:
+    """field -> the terms and phrases that are looked up in it; names: the fields that _all means."""
+    out: dict[str, list[str]] = {}
+
+    def walk(n: Node) -> None:
+        if n.kind in ("term", "phrase"):
+            own = n.field or field
+            for f in names if own == "_all" else [own]:
+                out.setdefault(f, []).append(str(n.value))
+        for c in n.children:
+            walk(c)
+
+    walk(parse(text))
+    return out
+
+
 def search(index: Index, text: str, universe: DataFrame, field: str = "_all", vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
     """index fields are searched; _all means every one. universe: (doc_id). vectors: (doc_id, embedding) for vector literals."""
 
@@ -143,4 +159,6 @@ def search(index: Index, text: str, universe: DataFrame, field: str = "_all", ve
             return fusion.log_odds([scored.intersect(*text_) if len(text_) > 1 else text_[0], *near])
         return scored.intersect(*[d for _, d in built])
 
+    for f, queries in asked(text, list(index.analyzers), field).items():
+        index.prepare(f, queries)
     return build(parse(text))

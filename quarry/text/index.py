@@ -7,7 +7,9 @@ only (the filter reaches the scan of a written index) and joins lengths and two
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
+from dataclasses import field as given
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ class Index:
     analyzers: dict[str, Analyzer]
     #: (field, doc_id, tokens) of an index that isn't written: a query counts its terms in one pass over these.
     tokens: DataFrame | None = None
+    #: field -> (terms, their staged counts): the last pass over the texts of such an index, which later queries of these terms read.
+    counts: dict[str, tuple[list[str], DataFrame]] = given(default_factory=dict)
+    #: (field, query) -> its terms.
+    parsed: dict[tuple[str, str], list[str]] = given(default_factory=dict)
 
     @classmethod
     def build(cls, docs: DataFrame, fields: dict[str, str | Analyzer] | list[str], doc_id: str = "doc_id") -> Index:
@@ -59,8 +65,24 @@ class Index:
 
     def terms(self, field: str, query: str) -> list[str]:
         """The query's tokens under the field's analyzer; one row on the driver."""
-        spark = self.postings.sparkSession
-        return spark.range(1).select(self.analyzers[field](F.lit(query)).alias("t")).first().t
+        if (field, query) not in self.parsed:
+            spark = self.postings.sparkSession
+            self.parsed[field, query] = spark.range(1).select(self.analyzers[field](F.lit(query)).alias("t")).first().t
+        return self.parsed[field, query]
+
+    def prepare(self, field: str, queries: Iterable[str]) -> None:
+        """Count the terms of several queries in one pass over the texts; a written index has no need of it."""
+        if self.tokens is not None:
+            self._count(field, sorted({t for q in queries for t in self.terms(field, q)}))
+
+    def _count(self, field: str, terms: list[str]) -> tuple[list[str], DataFrame]:
+        """(terms, rows (doc_id, len, tfs)): each document's length and counts of the terms, staged; terms that the last pass had are read from it."""
+        if field not in self.counts or not set(terms) <= set(self.counts[field][0]):
+            own = self.tokens.where(F.col("field") == field).select("doc_id", F.size("tokens").alias("len"), F.filter("tokens", lambda x: x.isin(terms)).alias("few"))
+            times = lambda t: F.size(F.filter("few", lambda x: x == t)).cast("long")
+            tfs = F.array(*map(times, terms)).cast("array<long>")
+            self.counts[field] = terms, stage(own.select("doc_id", "len", tfs.alias("tfs")), "counted")
+        return self.counts[field]
 
     def stats(self, field: str) -> DataFrame:
         """One row: documents and their mean length."""
@@ -81,9 +103,9 @@ class Index:
 
     def _counted(self, field: str, terms: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """(hits, df, lengths, stats) from one pass over the texts: each document's length and counts of the terms are staged, nothing else."""
+        known, own = self._count(field, terms)
         wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-        count = F.transform(wanted, lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("long"))
-        own = stage(self.tokens.where(F.col("field") == field).select("doc_id", F.size("tokens").alias("len"), count.alias("tfs")), "counted")
+        own = own.select("doc_id", "len", F.array(*[F.col("tfs")[known.index(t)] for t in terms]).cast("array<long>").alias("tfs"))
         hit = own.where(F.exists("tfs", lambda n: n > 0)).select("doc_id", "len", F.posexplode("tfs").alias("k", "tf")).where("tf > 0").withColumn("term", F.element_at(wanted, F.col("k") + 1)).drop("k")
         df = F.broadcast(hit.groupBy("term").agg(F.count("*").alias("df")))  # a row a query term
         return hit, df, own.select("doc_id", "len"), own.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl"))

@@ -176,3 +176,25 @@ def test_save_and_load(s, spark, tmp_path):
     assert rows(other.sql("SELECT * FROM t ORDER BY id")) == [(1, "x"), (2, "doc")]
     with pytest.raises(SqlError):
         other.sql("INSERT INTO t VALUES (1, 'again')")
+
+
+def test_a_statement_reads_its_texts_once_and_writes_postings_only_for_a_declared_index(spark, monkeypatch):
+    from quarry.text import index as ix
+
+    passes, saved = [], []
+    stage, save = ix.stage, ix.Index.save
+    monkeypatch.setattr(ix, "stage", lambda df, name: passes.append(name) or stage(df, name))
+    monkeypatch.setattr(ix.Index, "save", lambda self, path: saved.append(path) or save(self, path))
+    s = Session(spark)
+    s.register("notes", spark.createDataFrame([(1, "graph theory"), (2, "soup of the day"), (3, "the graph"), (4, None), (5, "")], "id long, body string"), "id")
+    ask = lambda where: sorted(r[0] for r in s.sql(f"SELECT id FROM notes WHERE {where}").collect())
+    assert ask("body @@ 'graph theory' AND NOT text_match(body, 'soup')") == [1]
+    assert (len(passes), saved) == (1, [])
+    assert ask("text_match(body, 'theory')") == [1] and ask("bayesian_match(body, 'soup graph')") == [1, 2, 3] and len(passes) == 1
+    assert ask("fuse_log_odds(text_match(body, 'day'), text_match(body, 'graph'))") == [1, 2, 3] and len(passes) == 2
+    assert ask("body @@ '\"graph theory\" OR soup'") == [1, 2]
+    assert ask("text_match(body, '')") == [] and ask("text_match(body, 'nowhere')") == [] and saved == []
+    before = {r[0]: r[1] for r in s.sql("SELECT id, _score FROM notes WHERE text_match(body, 'graph')").collect()}
+    s.sql("CREATE INDEX g ON notes USING gin (body)")
+    after = {r[0]: r[1] for r in s.sql("SELECT id, _score FROM notes WHERE text_match(body, 'graph')").collect()}
+    assert len(saved) == 1 and after == pytest.approx(before)
