@@ -141,7 +141,10 @@ def temporal(at: float | None = None, between: tuple[float, float] | None = None
 
 
 def pagerank(g: Graph, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
-    """Scored. Dangling mass is spread evenly; parallel edges count. Two shuffles a round, of one number a vertex and one an edge."""
+    """Scored. Dangling mass is spread evenly; parallel edges count.
+
+    Two shuffles a round at most, of one number a vertex and one an edge; joins merge, so that no round sends a number a vertex to the driver.
+    """
     ids = settle(g.vertices.select("id").distinct())
     n = ids.count()
     if not n:
@@ -152,8 +155,8 @@ def pagerank(g: Graph, damping: float = 0.85, iterations: int = 100, tolerance:
     rank = settle(ids.join(deg.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("dangling"), F.lit(1.0 / n).alias("r")))
     for k in range(1, iterations + 1):
         loose = rank.agg(F.sum(F.when(F.col("dangling"), F.col("r")).otherwise(0.0))).first()[0] or 0.0
-        came = links.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("in"))
-        new = rank.join(came, "id", "left").select("id", "dangling", F.col("r").alias("old"), ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)).alias("r"))
+        came = links.join(rank.select(F.col("id").alias("src"), "r").hint("merge"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("in"))
+        new = rank.join(came.hint("merge"), "id", "left").select("id", "dangling", F.col("r").alias("old"), ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)).alias("r"))
         new = settle(new)
         moved = new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
         rank = new.drop("old")
@@ -163,17 +166,20 @@ def pagerank(g: Graph, damping: float = 0.85, iterations: int = 100, tolerance:
 
 
 def hits(g: Graph, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(doc_id, score, hub, authority): the hub uses the new authority; both have length 1; score is their sum."""
+    """(doc_id, score, hub, authority): the hub uses the new authority; both have length 1; score is their sum.
+
+    The rounds join by merging: a broadcast of a number a vertex would send it to the driver in every round.
+    """
     ids = settle(g.vertices.select("id").distinct())
     e = settle(g.edges.select("src", "dst"))
     now = settle(ids.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth")))
     for _ in range(iterations):
-        a = e.join(now.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
+        a = e.join(now.select(F.col("id").alias("src"), "hub").hint("merge"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
         na = F.broadcast(a.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na")))
-        a = settle(ids.join(a, "id", "left").crossJoin(na).select("id", F.coalesce(F.col("a") / F.col("na"), F.lit(0.0)).alias("a")))
-        h = e.join(a.select(F.col("id").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("h"))
+        a = settle(ids.join(a.hint("merge"), "id", "left").crossJoin(na).select("id", F.coalesce(F.col("a") / F.col("na"), F.lit(0.0)).alias("a")))
+        h = e.join(a.select(F.col("id").alias("dst"), "a").hint("merge"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("h"))
         nh = F.broadcast(h.agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("nh")))
-        new = settle(now.join(a, "id").join(h, "id", "left").crossJoin(nh).select("id", F.coalesce(F.col("h") / F.col("nh"), F.lit(0.0)).alias("hub"), F.col("a").alias("auth"), (F.abs(F.coalesce(F.col("h") / F.col("nh"), F.lit(0.0)) - F.col("hub")) + F.abs(F.col("a") - F.col("auth"))).alias("moved")))
+        new = settle(now.join(a.hint("merge"), "id").join(h.hint("merge"), "id", "left").crossJoin(nh).select("id", F.coalesce(F.col("h") / F.col("nh"), F.lit(0.0)).alias("hub"), F.col("a").alias("auth"), (F.abs(F.coalesce(F.col("h") / F.col("nh"), F.lit(0.0)) - F.col("hub")) + F.abs(F.col("a") - F.col("auth"))).alias("moved")))
         moved = new.agg(F.sum("moved")).first()[0] or 0.0
         now = new.drop("moved")
         if moved < tolerance:

@@ -83,3 +83,19 @@ def test_neighborhood_index_holds_each_step_once_and_answers_from_one_vertex(spa
     hub = indexes.NeighborhoodIndex(core.Graph.of(spark.range(30_001), leaves.select("id", F.lit(0).cast("long").alias("dst")).withColumnRenamed("id", "src")), 2)
     assert hub.steps.count() == 60_000
     assert {(r.depth, r["count"]) for r in hub.of(7).groupBy("depth").count().collect()} == {(1, 1), (2, 29_999)}
+
+
+@pytest.mark.parametrize("measure", [core.pagerank, core.hits])
+def test_rounds_send_no_number_a_vertex_to_the_driver(graph, monkeypatch, measure):
+    joins, settle = [], core.settle
+
+    def watched(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.extend(line for line in plan.splitlines() if "Join Inner, (" in line or "Join LeftOuter, (" in line)
+        return settle(df)
+
+    measure(graph, iterations=1)
+    monkeypatch.setattr(core, "settle", watched)
+    measure(graph, iterations=1)
+    rounds = [x for x in joins if "src" in x or "dst" in x or "id#" in x]
+    assert sum("strategy=merge" in x for x in rounds) >= len(rounds) - (measure is core.pagerank) * 2 > 0
